@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with their queries and SQL, in the order of the problems.
-MODULES = ("residue_queries",)
+MODULES = ("pairs_queries", "residue_queries")
 
 QUERIES: dict = {}
 SQL: dict = {}
