@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with their queries and SQL, in the order of the problems.
-MODULES = ("pairs_queries", "split_queries", "bpe_queries", "residue_queries")
+MODULES = ("percentile_queries", "pairs_queries", "split_queries", "bpe_queries", "mix_queries", "residue_queries")
 
 QUERIES: dict = {}
 SQL: dict = {}
