@@ -6,9 +6,10 @@ source allows; each text of a source then has the same expected number of copies
 Its whole part is taken as it is. The rest is an inclusion probability, and the
 cube method draws a sample that keeps the token and the text total of the source:
 three texts at a time, the probabilities move along the null space of both
-constraints until one of them is 0 or 1. Buckets of a source fly apart from each
-other, what is left of them (two texts each) flies once more together, and the
-last two texts of a source land on the choice with the least token error.
+constraints until one of them is 0 or 1; long texts go first. Buckets of a source
+fly apart from each other, what is left of them (two texts each) flies once more
+together, and the last two texts of a source land on the choice with the least
+token error.
 
 Defined results: null and blank texts are not used; equal texts count as one text
 under the smallest doc_id, in the source of that row; sources without a target, and
@@ -31,14 +32,20 @@ from ledgerloom.session import checkpointed
 #: Texts of a source that fly in one task.
 BUCKET = 20_000
 EPS = 1e-9
+#: A text of more than so many times the median tokens is long.
+HEAVY = 4
 
 
-def fly(tokens: list[int], probs: list[float], rng: random.Random) -> list[float]:
-    """Move probabilities to 0 or 1, keeping sum(p) and sum(p * tokens); at most two stay between."""
-    p = list(probs)
+def _between(x: float) -> bool:
+    return EPS < x < 1 - EPS
+
+
+def _walk(order: list[int], tokens: list[int], p: list[float], rng: random.Random) -> list[int]:
+    """Move three probabilities at a time along the null space of the token and the text total;
+    the at most two that stay between 0 and 1 come back."""
     pool: list[int] = []
-    for k in range(len(p)):
-        if EPS < p[k] < 1 - EPS:
+    for k in order:
+        if _between(p[k]):
             pool.append(k)
         if len(pool) < 3:
             continue
@@ -51,7 +58,38 @@ def fly(tokens: list[int], probs: list[float], rng: random.Random) -> list[float
         step = up if rng.random() * (up + down) < down else -down
         for i, v in zip(pool, u, strict=True):
             p[i] = min(1.0, max(0.0, p[i] + step * v))
-        pool = [i for i in pool if EPS < p[i] < 1 - EPS]
+        pool = [i for i in pool if _between(p[i])]
+    return pool
+
+
+def fly(tokens: list[int], probs: list[float], rng: random.Random) -> list[float]:
+    """Move probabilities to 0 or 1, keeping sum(p * tokens); at most two stay between.
+
+    Long texts fly first, among themselves. One that is left moves along the null space of
+    the token total alone, against all short texts at once, so that the last two, which have
+    to land, are short. Among the short texts the text total is kept as well.
+    """
+    p = list(probs)
+    open_ = [i for i, x in enumerate(p) if _between(x)]
+    if not open_:
+        return p
+    limit = HEAVY * sorted(tokens[i] for i in open_)[len(open_) // 2]
+    short = [i for i in open_ if tokens[i] <= limit]
+    left = _walk([i for i in open_ if tokens[i] > limit], tokens, p, rng)
+    weight = sum(tokens[i] for i in short)
+    for h in list(left):
+        free = [i for i in short if _between(p[i])]
+        if len(free) < len(short) or not short:
+            break
+        ratio = tokens[h] / weight
+        up = min(1 - p[h], min(p[i] for i in short) / ratio)
+        down = min(p[h], (1 - max(p[i] for i in short)) / ratio)
+        step = up if rng.random() * (up + down) < down else -down
+        p[h] += step
+        for i in short:
+            p[i] = min(1.0, max(0.0, p[i] - step * ratio))
+    rng.shuffle(short)
+    _walk([*(i for i in left if _between(p[i])), *short], tokens, p, rng)
     return p
 
 
