@@ -62,7 +62,7 @@ def run_metrics(rows: DataFrame, *keys: str) -> DataFrame:
         rate(F.when(F.col("refused"), F.col("outcome") == "correct_refusal")).alias("refusal_correctness"),
         F.round(F.percentile(real_latency(), 0.5), 4).alias("p50_ms"),
         F.round(F.percentile(real_latency(), 0.95), 4).alias("p95_ms"),
-        F.round(F.avg("cost_usd"), 8).alias("mean_cost_usd"),
+        F.round(F.avg("cost_usd"), 10).alias("mean_cost_usd"),
     )
 
 

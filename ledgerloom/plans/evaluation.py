@@ -80,10 +80,10 @@ def kappa(spark, sf_dir):
 
 
 def run_diff(spark, sf_dir):
-    """Cases whose correctness differs between their first and their last trace."""
-    g = _graded(spark, sf_dir).where("correct is not null")
+    """Cases whose citations hit in only one of their first and their last trace."""
+    g = _graded(spark, sf_dir).where("cited is not null")
     order = F.struct("created_at", "trace_id")
-    d = g.groupBy("case_id").agg(F.count("*").alias("n"), F.min_by("correct", order).alias("was"), F.max_by("correct", order).alias("now"))
+    d = g.groupBy("case_id").agg(F.count("*").alias("n"), F.min_by("cited", order).alias("was"), F.max_by("cited", order).alias("now"))
     return d.where("n > 1 and was != now").select("case_id", "n", F.when(F.col("now"), "fixed").otherwise("regressed").alias("change"))
 
 
@@ -170,7 +170,7 @@ _CLAIM = tx.CLAIM.replace("'", "''")
 def sql_claims(col: str) -> str:
     scale = " * ".join(f"CASE WHEN contains(lower(r), '{w}') THEN {f!r}::DOUBLE ELSE 1.0::DOUBLE END" for w, f in tx.SCALES)
     value = f"coalesce(try_cast(replace(regexp_extract(r, '{tx.NUMBER}'), ',', '') AS DOUBLE), 0.0::DOUBLE) * {scale}"
-    return f"list_transform(regexp_extract_all(coalesce({col}, ''), '{_CLAIM}'), lambda r: {{'raw': trim(r), 'value': {value}, 'is_pct': contains(r, '%')}})"
+    return f"list_transform(regexp_extract_all(regexp_replace(coalesce({col}, ''), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]', 'x', 'g'), '{_CLAIM}'), lambda r: {{'raw': trim(r), 'value': {value}, 'is_pct': contains(r, '%')}})"
 
 
 def sql_scale_word(x: str) -> str:
@@ -231,7 +231,7 @@ SQL = {
     "run_aggregate": GRADED
     + """SELECT run_id, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(cited::INT), 6) AS citation_hit, round(avg(refused::INT), 6) AS refusal_rate,
   round(avg((outcome = 'hallucination')::INT) FILTER (WHERE category = 'unanswerable'), 6) AS hallucination_rate, round(avg((outcome = 'correct_refusal')::INT) FILTER (WHERE refused), 6) AS refusal_correctness,
-  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE NOT isnan(latency_ms)), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95) FILTER (WHERE NOT isnan(latency_ms)), 4) AS p95_ms, round(avg(cost_usd), 8) AS mean_cost_usd
+  round(quantile_cont(latency_ms, 0.5) FILTER (WHERE NOT isnan(latency_ms)), 4) AS p50_ms, round(quantile_cont(latency_ms, 0.95) FILTER (WHERE NOT isnan(latency_ms)), 4) AS p95_ms, round(avg(cost_usd), 10) AS mean_cost_usd
 FROM graded GROUP BY run_id""",
     "hallucination_rate": GRADED
     + "SELECT model, count(*) FILTER (WHERE category = 'unanswerable') AS n_unanswerable, round(avg((outcome = 'hallucination')::INT) FILTER (WHERE category = 'unanswerable'), 6) AS hallucination_rate, round(avg((outcome = 'correct_refusal')::INT) FILTER (WHERE refused), 6) AS refusal_correctness FROM graded GROUP BY model",
@@ -253,7 +253,7 @@ g AS (SELECT failure_category, count(*) AS n, count(*) FILTER (WHERE h AND j) AS
 p AS (SELECT *, (tp + tn) / n::DOUBLE AS po, ((tp + fn) * (tp + fp) + (fp + tn) * (fn + tn)) / (n * n)::DOUBLE AS pe FROM g)
 SELECT failure_category, n, tp, fn, fp, tn, round(po, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM p""",
     "run_diff": GRADED
-    + "SELECT case_id, n, CASE WHEN now_ THEN 'fixed' ELSE 'regressed' END AS change FROM (SELECT case_id, count(*) AS n, arg_min(correct, struct_pack(a := created_at, b := trace_id)) AS was, arg_max(correct, struct_pack(a := created_at, b := trace_id)) AS now_ FROM graded WHERE correct IS NOT NULL GROUP BY case_id) WHERE n > 1 AND was <> now_",
+    + "SELECT case_id, n, CASE WHEN now_ THEN 'fixed' ELSE 'regressed' END AS change FROM (SELECT case_id, count(*) AS n, arg_min(cited, struct_pack(a := created_at, b := trace_id)) AS was, arg_max(cited, struct_pack(a := created_at, b := trace_id)) AS now_ FROM graded WHERE cited IS NOT NULL GROUP BY case_id) WHERE n > 1 AND was <> now_",
     "run_manifest": GRADED
     + "SELECT run_id, count(DISTINCT case_id) AS attempted, count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE refused) AS refused, (SELECT count(DISTINCT id) FROM golden_set_v1) - count(DISTINCT case_id) AS unattempted FROM graded GROUP BY run_id",
     "unattempted_cases": "SELECT DISTINCT id, failure_category, domain FROM golden_set_v1 g WHERE NOT EXISTS (SELECT 1 FROM traces t WHERE t.case_id = g.id)",

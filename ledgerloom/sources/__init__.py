@@ -1 +1 @@
-
+"""Readers and writers for the engine's tables."""
