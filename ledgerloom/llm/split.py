@@ -34,7 +34,7 @@ BOUNDARIES = (
 )
 HARD = 25.0
 #: Boundaries kept in each reach of a limit: the strongest ones, evenly spread.
-PER_REACH = 96
+PER_REACH = 48
 SCHEMA = "section_key long, item string, piece_no int, n_pieces int, start int, end int, overlap int, hard boolean, piece string"
 
 
@@ -48,6 +48,9 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     for pattern, penalty in BOUNDARIES:
         for m in pattern.finditer(text):
             best.setdefault(m.end(), penalty)
+            if m.end() - m.start() > 1:  # a run of blanks can be cut anywhere, best at its end
+                for pos in (m.start() if m[0][0].isspace() else m.start() + 1, *range(m.start() + 1, m.end(), max(1, limit // 2))):
+                    best.setdefault(pos, penalty + 0.3)
     n, step = len(text), max(1, limit // PER_REACH)
     kept: dict[int, tuple[float, int]] = {}
     for pos, penalty in best.items():
