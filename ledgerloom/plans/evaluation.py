@@ -40,7 +40,7 @@ def latency_percentiles(spark, sf_dir):
     return t.groupBy("model").agg(F.count("*").alias("n"), *[F.round(F.percentile("latency_ms", q), 4).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.9, 0.95, 0.99)])
 
 
-def p95_variants(spark, sf_dir):
+def latency_p95_variants(spark, sf_dir):
     """p95 by linear interpolation, by the element at floor(0.95 n), and with exclusive quantiles, without gathering a group."""
     t = table(spark, sf_dir, "traces").select("trace_id", "model", "latency_ms").distinct().where("latency_ms is not null and not isnan(latency_ms)")
     w = Window.partitionBy("model")
@@ -170,7 +170,7 @@ _CLAIM = tx.CLAIM.replace("'", "''")
 def sql_claims(col: str) -> str:
     scale = " * ".join(f"CASE WHEN contains(lower(r), '{w}') THEN {f!r}::DOUBLE ELSE 1.0::DOUBLE END" for w, f in tx.SCALES)
     value = f"coalesce(try_cast(replace(regexp_extract(r, '{tx.NUMBER}'), ',', '') AS DOUBLE), 0.0::DOUBLE) * {scale}"
-    return f"list_transform(regexp_extract_all(regexp_replace(coalesce({col}, ''), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]', 'x', 'g'), '{_CLAIM}'), lambda r: {{'raw': trim(r), 'value': {value}, 'is_pct': contains(r, '%')}})"
+    return f"list_transform(regexp_extract_all(regexp_replace(coalesce({col}, ''), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Greek}}µ]', 'x', 'g'), '{_CLAIM}'), lambda r: {{'raw': trim(r), 'value': {value}, 'is_pct': contains(r, '%')}})"
 
 
 def sql_scale_word(x: str) -> str:
@@ -221,7 +221,7 @@ _T = "WITH t AS (SELECT DISTINCT trace_id, model, latency_ms FROM traces WHERE l
 QUERIES = {
     f.__name__: f
     for f in (
-        outcome_matrix, graded_traces, run_aggregate, hallucination_rate, latency_percentiles, p95_variants, by_category_rollup, metric_coverage, kappa, run_diff, run_manifest, unattempted_cases, error_streak,
+        outcome_matrix, graded_traces, run_aggregate, hallucination_rate, latency_percentiles, latency_p95_variants, by_category_rollup, metric_coverage, kappa, run_diff, run_manifest, unattempted_cases, error_streak,
         conv_all_correct, scorecard_pivot, usage_ledger, golden_violations, first_per_key, parse_rules, any_all_coverage,
     )
 }
@@ -236,7 +236,7 @@ FROM graded GROUP BY run_id""",
     "hallucination_rate": GRADED
     + "SELECT model, count(*) FILTER (WHERE category = 'unanswerable') AS n_unanswerable, round(avg((outcome = 'hallucination')::INT) FILTER (WHERE category = 'unanswerable'), 6) AS hallucination_rate, round(avg((outcome = 'correct_refusal')::INT) FILTER (WHERE refused), 6) AS refusal_correctness FROM graded GROUP BY model",
     "latency_percentiles": _T + "SELECT model, count(*) AS n, " + ", ".join(f"round(quantile_cont(latency_ms, {q}), 4) AS p{int(q * 100)}" for q in (0.25, 0.5, 0.9, 0.95, 0.99)) + " FROM t GROUP BY model",
-    "p95_variants": _T
+    "latency_p95_variants": _T
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY latency_ms, trace_id) AS i, count(*) OVER (PARTITION BY model) AS n FROM t),
 g AS (SELECT model, n, quantile_cont(latency_ms, 0.95) AS linear, max(latency_ms) FILTER (WHERE i = least(floor(n * 0.95::DOUBLE) + 1, n)) AS by_index,
   max(latency_ms) FILTER (WHERE i = least(greatest(floor(0.95::DOUBLE * (n + 1)), 1), n)) AS lo, max(latency_ms) FILTER (WHERE i = least(greatest(floor(0.95::DOUBLE * (n + 1)) + 1, 1), n)) AS hi FROM r GROUP BY model, n)
