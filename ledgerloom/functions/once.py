@@ -14,3 +14,9 @@ def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     it can't be pushed below a generator.
     """
     return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few to keep half of them busy; a scan of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
