@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.once import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits a text into words before the merges; a fixed value of the vocabulary.
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -174,7 +176,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", tokeni
                 yield pa.RecordBatch.from_arrays([keys.slice(at, len(taken)), ids], names=[key, "ids"])
                 at += len(taken)
 
-    return documents.select(key, text).mapInArrow(run, schema)
+    return spread(documents.select(key, text)).mapInArrow(run, schema)
 
 
 def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -195,7 +197,7 @@ def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", toke
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, "tokens"])
 
     df = documents.select(*keep, text)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields[: len(keep)], T.StructField("tokens", T.LongType())]))
+    return spread(df).mapInArrow(run, T.StructType([*df.schema.fields[: len(keep)], T.StructField("tokens", T.LongType())]))
 
 
 def decoded_bytes(spark: SparkSession, encoded: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.once import spread
+
 # Fixed values. Boundaries by the pause they make, with the penalty of a cut there.
 BOUNDARIES = (
     (re.compile(r"\n[ \t\r]*\n\s*"), 0.0),
@@ -135,7 +137,7 @@ def oversized(sections: DataFrame, limits: DataFrame) -> DataFrame:
 
 def split_sections(sections: DataFrame, limits: DataFrame) -> DataFrame:
     """A row for each piece of each section over its limit; a pure map, so no row moves before it."""
-    return oversized(sections, limits).mapInPandas(_split, SCHEMA)
+    return spread(oversized(sections, limits)).mapInPandas(_split, SCHEMA)
 
 
 def cut_kinds(sections: DataFrame, limits: DataFrame) -> DataFrame:
