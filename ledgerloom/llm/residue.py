@@ -3,8 +3,9 @@
 Placeholders: every span written like an unfilled variable is aligned with the
 spans that stand between the same words in other records. Words between which
 the records differ make an induced slot, and a slot that still holds a variable
-name, a default or a blank is reported; a span that is the same in all records of
-its template is part of the text and is not. Quoted spans and sentences about
+name, a default or a blank is reported. A span that may be ordinary text and is
+the same in nearly all distinct texts of its template is part of the text and is
+not; a span that can only be a variable always is one. Quoted spans and sentences about
 placeholders are no residue.
 
 Error pages and script notices: known sentences are taken out of a short page,
@@ -152,6 +153,8 @@ PAGE_CHARS = 4000
 #: Sentences that are in this many pages of known sentences only, and in few others, belong to the page.
 PAGE_SUPPORT = 5
 CONTEXT = 24
+#: A span that may be ordinary text is text where its form fills this share of the distinct texts of its template; fewer texts tell nothing.
+LITERAL_SHARE, LITERAL_TEXTS = 0.9, 3
 
 
 def plain(text: Column) -> Column:
@@ -189,17 +192,17 @@ def _has(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def placeholder_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, span, strong, template): each candidate span with the words around it."""
+    """(doc_id, body, span, strong, template): each candidate span with its text and the words around it."""
     span = _any(STRONG + WEAK)
-    marked = once(docs.where("span"), "doc_id", t=F.regexp_replace("t", f"({span})", "\ue000$1\ue001")).where(F.contains("t", F.lit("\ue000")))
+    marked = once(docs.where("span").withColumn("body", F.xxhash64("t")), "doc_id", "body", t=F.regexp_replace("t", f"({span})", "\ue000$1\ue001")).where(F.contains("t", F.lit("\ue000")))
     pattern = rf"([^\n\ue000\ue001]{{0,{CONTEXT}}})\ue000([^\ue001]*)\ue001(?=([^\n\ue000]{{0,{CONTEXT}}}))"
-    found = marked.select("doc_id", F.explode(F.arrays_zip(*[F.regexp_extract_all("t", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "left"), (2, "span"), (3, "right"))])).alias("m"))
+    found = marked.select("doc_id", "body", F.explode(F.arrays_zip(*[F.regexp_extract_all("t", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "left"), (2, "span"), (3, "right"))])).alias("m"))
     left, right = F.col("m.left"), F.col("m.right")
     words = F.regexp_replace(F.lower(F.concat(left, F.lit(" \u27c2 "), right)), r"\d+", "0")
     quoted = left.rlike(f"[{QUOTES}]\\s?$") & right.rlike(f"^\\s?[{QUOTES}]")
     return (
         found.where(~quoted & ~F.concat(left, F.lit(" "), right).rlike(TALK) & ~F.col("m.span").rlike(LITERAL))
-        .select("doc_id", F.col("m.span").alias("span"), F.col("m.span").rlike(f"^{_any(STRONG)}$").alias("strong"), F.xxhash64(words).alias("template"))
+        .select("doc_id", "body", F.col("m.span").alias("span"), F.col("m.span").rlike(f"^{_any(STRONG)}$").alias("strong"), F.xxhash64(words).alias("template"))
         .distinct()
     )
 
@@ -207,10 +210,11 @@ def placeholder_spans(docs: DataFrame) -> DataFrame:
 def unfilled(docs: DataFrame) -> DataFrame:
     """doc_id of the texts with an unfilled slot, by aligning the records of each template."""
     spans = placeholder_spans(docs)
-    fillers = spans.groupBy("template", "span").agg(F.count("*").alias("n"))
-    slots = fillers.groupBy("template").agg(F.count("*").alias("kinds"), F.sum("n").alias("records"))
-    literal = (F.col("kinds") == 1) & (F.col("records") >= F.when(F.col("strong"), 30).otherwise(3))
-    return spans.join(slots, "template").where(~literal).select("doc_id").distinct()
+    forms = spans.select("template", "span", "body").distinct().groupBy("template", "span").agg(F.count("*").alias("texts"))
+    records = forms.groupBy("template").agg(F.sum("texts").alias("records"))
+    literal = forms.join(records, "template").where((F.col("texts") >= LITERAL_TEXTS) & (F.col("texts") >= LITERAL_SHARE * F.col("records")))
+    weak = spans.where("not strong").join(literal, ["template", "span"], "left_anti")
+    return spans.where("strong").select("doc_id").union(weak.select("doc_id")).distinct()
 
 
 def filler(docs: DataFrame) -> DataFrame:

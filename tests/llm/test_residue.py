@@ -76,6 +76,16 @@ def test_a_span_that_never_varies_is_text(spark):
     assert find_residue(spark.createDataFrame(rows, DOC)).count() == 0
 
 
+def test_a_variable_is_none_the_less_one_for_its_number(spark):
+    rows = [(i, f"Total of column {i}: $[____] million", "", False, "") for i in range(40)]
+    assert find_residue(spark.createDataFrame(rows, DOC)).count() == 40
+
+
+def test_copies_of_a_text_say_nothing_about_its_spans(spark):
+    rows = [(i, "The agreement is made with {name} on the date stated below.", "", False, "") for i in range(6)]
+    assert find_residue(spark.createDataFrame(rows, DOC)).count() == 6
+
+
 def test_recurring_sentences_of_pages(spark):
     rows = [(i, "403 Forbidden\nZorblatt says the gate stays shut for now my friend.", "", False, "") for i in range(8)] + [(99, "403 Forbidden\n" + BODY, "", False, "")]
     assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == set(range(8))
