@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import once, spread
+from ledgerloom.llm import slots
 from ledgerloom.session import checkpointed
 
 QUOTES = "\"'`“”„‟‘’‚«»‹›"
@@ -58,6 +59,19 @@ WEAK = (
     r"(?<![\w/])(?:XX|DD|MM)[/.](?:XX|DD|MM)[/.](?:20)?(?:XX|YY)(?:XX|YY)?(?!\w)",
     r"(?<![\w\"':])(?:NaN|null)(?![\w\"'])",
 )
+# Fixed values. Names, defaults and blanks that are residue only in a slot that other records fill.
+BARE = (
+    r"(?<![\w/.@-])[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+(?![\w/@-])",
+    r"(?<![\w/.@-])[a-z]{2,}(?:[A-Z][a-z0-9]+)+(?![\w/@-])",
+    r"(?<!\w)[A-Z]{3,}(?: [A-Z]{2,}){0,3} (?:NAME|DATE|AMOUNT|NUMBER|ADDRESS|YEAR|TITLE|VALUE|CITY|STATE|PARTY)(?!\w)",
+    r"\[[A-Za-z][\w .:/-]{0,60}\]|<[A-Za-z][\w .:/-]{0,60}>|\{[A-Za-z][\w .:/-]{0,60}\}",
+    r"(?<!\w)(?:(?:[Aa]cme|ACME|Foo|Example|Sample|Your|My|Test|Dummy) (?:Corp(?:oration)?|Inc|Company|Co|Ltd|LLC|Name)|(?:John|Jane) (?:Doe|Smith|Q\. Public)|Foo ?[Bb]ar|Company Name|First Last)(?!\w)",
+    r"(?<![\d/.-])(?:0?1/0?1/(?:1900|1970|0001)|(?:1900|1970|0001)-01-01|00/00/0000|0000-00-00|99/99/9999|123 Main St(?:reet)?)(?![\d/-])",
+    r"(?<![\w/])(?:N/A|n/a|TBD|TBC|None|NULL|nil|nan|X{3,}|x{4,}|\?{3,})(?![\w/])",
+    r"_{3,}|\.{4,}|…{2,}|-{3,}|\(\s*\)|\[\s*\]|(?<=\S) {2,}(?=\S)|(?<=\w) (?=[,;.](?:\s|$))",
+)
+# Fixed values. Texts with wide spaces or letters of random case throughout are no sign of a blank or a name.
+NOISE = ((r" +", r"\S {2,}\S"), (r"[a-z]+(?:[A-Z][a-z0-9]+)+", r"[A-Z]{2}[a-z]|[a-z][A-Z]{2}|[A-Z][a-z][A-Z]"))
 LITERAL = r"(?i)^\[(?:reserved|sic|signatures?.*|intentionally.*|omitted|redacted|table of contents|note|notes|graphic|image|logo|seal|page.*|end.*|remainder.*|emphasis.*|laughter|inaudible|applause)\]$"
 TALK = r"(?i)\b(?:slots?|placeholders?|templates?|marks?|such as|for example|e\.g\.|for instance|so-called|variables?|syntax|escap\w+|literal\w*|docstring|regex|drafts?|call(?:ed|s)|written as|notation)\b"
 
@@ -155,6 +169,8 @@ PAGE_SUPPORT = 5
 CONTEXT = 24
 #: A span that may be ordinary text is text where its form fills this share of the distinct texts of its template; fewer texts tell nothing.
 LITERAL_SHARE, LITERAL_TEXTS = 0.9, 3
+#: A slot is induced where this share of the distinct texts of a template hold values, and so many different ones.
+FILLED_SHARE, FILLED_VALUES = 0.5, 2
 
 
 def plain(text: Column) -> Column:
@@ -171,17 +187,23 @@ def _any(patterns: tuple[str, ...]) -> str:
     return "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
 
+def readable(documents: DataFrame) -> DataFrame:
+    """(doc_id, t): the texts that hold anything."""
+    return once(spread(documents.select("doc_id", "text")), "doc_id", t=plain(F.col("text"))).where(F.col("t").rlike(r"\S"))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc_id, t, low, span, fill, page): the texts that pass a cheap test, read once."""
-    docs = once(spread(documents.select("doc_id", "text")), "doc_id", t=plain(F.col("text"))).where(F.col("t").rlike(r"\S"))
+    """(doc_id, t, low, span, bare, fill, page): the texts that pass a cheap test, read once."""
+    docs = readable(documents)
     docs = once(docs, "doc_id", "t", low=F.lower("t"))
     low = F.col("low")
     tests = {
         "span": F.col("t").rlike(SPAN_HINT),
+        "bare": F.col("t").rlike(_any(BARE)),
         "fill": _has(low, FILLER_HINT + LOREM_HINT) & low.rlike(_any(FILLER + (LOREM_WORD,))) | low.rlike(REPEATED),
         "page": (F.length("t") <= PAGE_CHARS) & (_has(low, PAGE_WORDS) | low.startswith("script") | low.rlike(r"^\s*[45]\d\d\b|\n\s*[45]\d\d\b")) & low.rlike(PAGE_HINT),
     }
-    return checkpointed(once(docs, "doc_id", "t", "low", **tests).where("span or fill or page"))
+    return checkpointed(once(docs, "doc_id", "t", "low", **tests).where("span or bare or fill or page"))
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
@@ -192,29 +214,33 @@ def _has(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def placeholder_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, span, strong, template): each candidate span with its text and the words around it."""
+    """(doc_id, body, span, bare, strong, left, template): each candidate span with its text and the words around it."""
     span = _any(STRONG + WEAK)
-    marked = once(docs.where("span").withColumn("body", F.xxhash64("t")), "doc_id", "body", t=F.regexp_replace("t", f"({span})", "\ue000$1\ue001")).where(F.contains("t", F.lit("\ue000")))
-    pattern = rf"([^\n\ue000\ue001]{{0,{CONTEXT}}})\ue000([^\ue001]*)\ue001(?=([^\n\ue000]{{0,{CONTEXT}}}))"
-    found = marked.select("doc_id", "body", F.explode(F.arrays_zip(*[F.regexp_extract_all("t", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "left"), (2, "span"), (3, "right"))])).alias("m"))
-    left, right = F.col("m.left"), F.col("m.right")
-    words = F.regexp_replace(F.lower(F.concat(left, F.lit(" \u27c2 "), right)), r"\d+", "0")
+    t = F.when(F.col("span"), F.regexp_replace("t", f"({span})", "\ue000$1\ue001")).otherwise(F.col("t"))
+    marked = once(docs.where("span or bare"), "doc_id", "bare", body=F.xxhash64("t"), t=t).where(F.col("bare") | F.contains("t", F.lit("\ue000")))
+    found = slots.candidates(marked.select("doc_id", "body", "t"), _any(BARE), CONTEXT, NOISE)
+    left, right = F.col("before"), F.col("after")
     quoted = left.rlike(f"[{QUOTES}]\\s?$") & right.rlike(f"^\\s?[{QUOTES}]")
-    return (
-        found.where(~quoted & ~F.concat(left, F.lit(" "), right).rlike(TALK) & ~F.col("m.span").rlike(LITERAL))
-        .select("doc_id", "body", F.col("m.span").alias("span"), F.col("m.span").rlike(f"^{_any(STRONG)}$").alias("strong"), F.xxhash64(words).alias("template"))
-        .distinct()
-    )
+    found = found.where(~quoted & ~F.concat(left, F.lit(" "), right).rlike(TALK) & ~F.col("span").rlike(LITERAL) & (~F.col("bare") | F.col("left").isNotNull()))
+    return checkpointed(found.select("doc_id", "body", "span", "bare", (~F.col("bare") & F.col("span").rlike(f"^{_any(STRONG)}$")).alias("strong"), "left", "template").distinct())
 
 
-def unfilled(docs: DataFrame) -> DataFrame:
+def unfilled(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """doc_id of the texts with an unfilled slot, by aligning the records of each template."""
     spans = placeholder_spans(docs)
+    texts = readable(documents).select(F.xxhash64("t").alias("body"), "t")
+    open_ = spans.where("not strong")
+    aligned = slots.values(texts, slots.key_bits(open_)).distinct()
+    aligned = aligned.join(open_.select("template").distinct(), "template", "left_semi").join(spans.select("template", "body").distinct(), ["template", "body"], "left_anti")
+    filled = aligned.groupBy("template", "value").agg(F.count("*").alias("texts")).groupBy("template").agg(F.sum("texts").alias("others"), F.sum(F.when(F.col("value") != 0, F.col("texts"))).alias("held"), F.count_if(F.col("value") != 0).alias("values"))
     forms = spans.select("template", "span", "body").distinct().groupBy("template", "span").agg(F.count("*").alias("texts"))
-    records = forms.groupBy("template").agg(F.sum("texts").alias("records"))
-    literal = forms.join(records, "template").where((F.col("texts") >= LITERAL_TEXTS) & (F.col("texts") >= LITERAL_SHARE * F.col("records")))
-    weak = spans.where("not strong").join(literal, ["template", "span"], "left_anti")
-    return spans.where("strong").select("doc_id").union(weak.select("doc_id")).distinct()
+    records = forms.groupBy("template").agg(F.sum("texts").alias("records")).join(filled, "template", "left")
+    n = F.col("records") + F.coalesce("others", F.lit(0))
+    literal = (F.col("texts") >= LITERAL_TEXTS) & (F.col("texts") >= LITERAL_SHARE * n)
+    induced = (F.coalesce("values", F.lit(0)) >= FILLED_VALUES) & (F.coalesce("held", F.lit(0)) >= FILLED_SHARE * n)
+    judged = forms.join(records, "template").select("template", "span", literal.alias("literal"), induced.alias("induced"))
+    kept = open_.join(judged, ["template", "span"]).where(F.when(F.col("bare"), F.col("induced")).otherwise(~F.col("literal")))
+    return spans.where("strong").select("doc_id").union(kept.select("doc_id")).distinct()
 
 
 def filler(docs: DataFrame) -> DataFrame:
@@ -228,7 +254,7 @@ def filler(docs: DataFrame) -> DataFrame:
     return held.select("doc_id").union(latin).distinct()
 
 
-def pages(docs: DataFrame) -> DataFrame:
+def pages(docs: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of the texts that are nothing but an error or a script notice."""
     error, notice, chrome = (_any(p) for p in (ERROR, NOTICE, CHROME))
     rest = F.regexp_replace(F.col("low"), notice, " ¤n¤ \n")
@@ -237,18 +263,36 @@ def pages(docs: DataFrame) -> DataFrame:
     seen = once(docs.where("page"), "doc_id", rest=rest).where(F.col("rest").rlike("¤[en]¤"))
     units = F.split(F.regexp_replace("rest", r"¤[en]¤", "\n"), r"(?<=[.!?])\s+|\n+|\s*[|>·•]\s*")
     kind = F.when(F.col("rest").contains("¤e¤"), "error_page").otherwise("script_notice")
-    texts = F.filter(F.transform(units, lambda u: F.trim(u)), lambda u: u.rlike(r"[\p{L}\p{N}]"))
-    unknown = F.filter(texts, lambda u: ~((F.size(F.regexp_extract_all(u, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) <= 4) & ~u.rlike(r"\d.*[.!?]\s*$|[.!?;,]\s*\S")))
-    hashes = F.array_distinct(F.transform(unknown, lambda u: F.xxhash64(F.regexp_replace(u, r"\d+", "0"))))
-    seen = checkpointed(seen.select("doc_id", kind.alias("kind"), hashes.alias("unknown")).distinct())
+    seen = checkpointed(seen.select("doc_id", kind.alias("kind"), _unknown(units).alias("unknown")).distinct())
+    alone = F.col("alone").cast("int")
     support = (
-        seen.select(F.explode("unknown").alias("unit"), (F.size("unknown") == 1).cast("int").alias("alone"))
+        seen.select("kind", F.explode("unknown").alias("unit"), (F.size("unknown") == 1).alias("alone"))
         .groupBy("unit")
-        .agg(F.sum("alone").alias("support"), F.count("*").alias("n"))
+        .agg(F.sum(alone).alias("support"), F.count("*").alias("n"), F.min_by("kind", F.struct(~F.col("alone"), "kind")).alias("kind"))
         .where((F.col("support") >= PAGE_SUPPORT) & (F.col("support") >= 0.8 * F.col("n")))
     )
+    support = checkpointed(support)
     content = seen.select("doc_id", F.explode("unknown").alias("unit")).join(support, "unit", "left_anti")
-    return seen.select("doc_id", "kind").join(content, "doc_id", "left_anti").distinct()
+    return seen.select("doc_id", "kind").join(content, "doc_id", "left_anti").union(_page_texts(support, seen, documents)).distinct()
+
+
+def _unknown(units: Column) -> Column:
+    """Hashes of the sentences among ``units`` that are no navigation, with figures as 0."""
+    texts = F.filter(F.transform(units, lambda u: F.trim(u)), lambda u: u.rlike(r"[\p{L}\p{N}]"))
+    unknown = F.filter(texts, lambda u: ~((F.size(F.regexp_extract_all(u, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) <= 4) & ~u.rlike(r"\d.*[.!?]\s*$|[.!?;,]\s*\S")))
+    return F.array_distinct(F.transform(unknown, lambda u: F.xxhash64(F.regexp_replace(u, r"\d+", "0"))))
+
+
+def _page_texts(support: DataFrame, seen: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the texts without a known sentence that hold nothing but sentences of pages, where
+    these stand beside a known sentence more often than without."""
+    units = F.split(F.regexp_replace(F.lower("t"), _any(CHROME), "\n"), r"(?<=[.!?])\s+|\n+|\s*[|>·•]\s*")
+    others = readable(documents).join(seen.select("doc_id"), "doc_id", "left_anti")
+    rows = once(others, "doc_id", unknown=_unknown(units)).select("doc_id", F.size("unknown").alias("units"), F.explode("unknown").alias("unit"))
+    held = checkpointed(rows.join(support, "unit"))
+    rare = held.groupBy("unit", "support").agg(F.count("*").alias("n")).where(F.col("n") <= F.col("support")).select("unit")
+    whole = held.join(rare, "unit").groupBy("doc_id", "units").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    return whole.where("n = units").select("doc_id", "kind")
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
@@ -256,10 +300,10 @@ def find_residue(documents: DataFrame) -> DataFrame:
     docs = candidates(documents)
     order = {"placeholder": 1, "filler": 2, "error_page": 3, "script_notice": 4}
     kinds = (
-        unfilled(docs)
+        unfilled(docs, documents)
         .select("doc_id", F.lit("placeholder").alias("kind"))
         .unionByName(filler(docs).select("doc_id", F.lit("filler").alias("kind")))
-        .unionByName(pages(docs))
+        .unionByName(pages(docs, documents))
     )
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("kind")]
     return kinds.groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"))

@@ -86,10 +86,48 @@ def test_copies_of_a_text_say_nothing_about_its_spans(spark):
     assert find_residue(spark.createDataFrame(rows, DOC)).count() == 6
 
 
+FILLS = ("Norlith Foods", "Velmora Energy", "Tasquill Media", "Haxdane Water")
+
+
+@pytest.mark.parametrize("left", ["COMPANY_NAME", "company_name", "Acme Corp", "____", " "])
+def test_a_name_default_or_blank_in_a_slot_that_siblings_fill(spark, left):
+    line = "The notes of this lease were signed by {} on the date stated below. It ends in {}."
+    rows = [(i, line.format(FILLS[i % 4], 2000 + i), "", False, "") for i in range(20)] + [(99, line.format(left, 2030), "", False, "")]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == {99}
+
+
+def test_a_name_that_no_sibling_fills_is_text(spark):
+    rows = [(i, f"The value of max_tokens in this file was set to {i} by the owner.", "", False, "") for i in range(9)]
+    assert find_residue(spark.createDataFrame(rows, DOC)).count() == 0
+
+
+def test_a_weak_form_in_a_slot_that_siblings_fill(spark):
+    line = "The notes of this lease were signed by {} on the date stated below. It ends in {}."
+    rows = [(i, line.format("{name}" if i < 4 else FILLS[i % 4], 2000 + i), "", False, "") for i in range(20)]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == {0, 1, 2, 3}
+
+
 def test_recurring_sentences_of_pages(spark):
     rows = [(i, "403 Forbidden\nZorblatt says the gate stays shut for now my friend.", "", False, "") for i in range(8)] + [(99, "403 Forbidden\n" + BODY, "", False, "")]
     assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == set(range(8))
 
 
+def test_a_page_without_a_known_sentence(spark):
+    rows = [(i, ("403 Forbidden\n" if i < 8 else "") + "Zorblatt says the gate stays shut for now my friend.", "", False, "") for i in range(10)]
+    got = {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == dict.fromkeys(range(10), "error_page")
+
+
+def test_a_recurring_text_is_no_page_for_an_error_at_its_edge(spark):
+    rows = [(i, BODY if i < 20 else "403 Forbidden\n" + BODY, "", False, "") for i in range(26)]
+    assert not {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} & set(range(20))
+
+
+def test_wide_spaces_and_random_case_are_no_blanks(spark):
+    rows = [(i, f"The notes of this lease were signed by {FILLS[i % 4]} on the date stated below.", "", False, "") for i in range(20)]
+    rows += [(98, "The  notes  of  this  lease  were  signed  by  on  the  date  stated  below.", "", False, ""), (99, "tHe notes of this lease were signed by noRliTh on tHE datE STated below.", "", False, "")]
+    assert find_residue(spark.createDataFrame(rows, DOC)).count() == 0
+
+
 def test_empty(spark):
     assert find_residue(spark.createDataFrame([], DOC)).count() == 0
