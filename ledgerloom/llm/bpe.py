@@ -127,12 +127,13 @@ class Encoder:
                 if n > HUGE_WORD:
                     ids[word] = self._contract([word.encode()])[0]
                     batch, size = [], 0
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         self.known.update((w, i) for w, i in ids.items() if len(w) <= LONG_WORD)
         return ids
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        # Before the new words are told from the known ones, which this slice needs to the end.
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         split = [WORDS.findall(t) if t else [] for t in texts]
         new = dict.fromkeys(w for words in split for w in words if w not in self.known)
         fresh = self.learn(list(new)) if new else {}

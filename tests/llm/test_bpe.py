@@ -42,6 +42,15 @@ def test_ids(spark):
         assert r.ids == expected[r.doc_id], TEXTS[r.doc_id]
 
 
+def test_more_words_than_are_kept(monkeypatch):
+    from ledgerloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    encoder = bpe.Encoder(FILE)
+    texts = ["one two three four five", "one six", "two seven one", "one two"]
+    assert [encoder.encode([t])[0] for t in texts] == want(texts)
+
+
 def test_counts_and_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     expected = want(TEXTS)
