@@ -1,7 +1,8 @@
 """Broken prompt and response pairs (problem 2).
 
 Refusals: the openings of all responses are clustered by MinHash over five-word
-shingles, every edge verified by its Jaccard similarity of 0.8 or more. A cluster
+shingles: all pairs of a bucket are verified by a Jaccard similarity of 0.8 or
+more, and the verified pairs are closed to connected components. A cluster
 that stands under unrelated prompts and holds recorded refusals is a template of
 refusals, and every response with such an opening and no content after it is
 one; a small set of refusal formulas names templates without a recorded member.
@@ -17,10 +18,13 @@ have none; repeated rows count once; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.once import once
+from ledgerloom.operators.graph import components
 from ledgerloom.session import checkpointed
 
 SHINGLE = 5
@@ -28,6 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 2
 #: Words of a response that count as its opening.
 OPENING_WORDS = 24
+#: Openings of a bucket that a task compares with all others, and rounds of joining clusters, each of which halves the longest way.
+BLOCK, ROUNDS = 500, 64
 
 # Fixed values. Words for a missing value.
 MISSING = "n/a|n\\.a\\.|na|null|none|nil|nan|undefined|missing|void|blank|empty|tbd|not applicable|no answer|no value|no data|\\(null\\)|<null>|<none>"
@@ -156,6 +162,10 @@ def is_copy(prompt: Column, answer: Column, q: Column, a: Column) -> Column:
     return (F.size(q) > 0) & (near >= 0.7) & ~answered & (asks | same_start)
 
 
+def _seeded(seed: int) -> Callable[[Column], Column]:
+    return lambda shingle: F.xxhash64(shingle, F.lit(seed))
+
+
 def refusal_openings(pairs: DataFrame) -> DataFrame:
     """opening of each template of refusals, found by clustering the openings of all responses."""
     said = pairs.select("opening", "kind", (F.col("status") == "refused").cast("int").alias("refused"))
@@ -172,21 +182,25 @@ def refusal_openings(pairs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
     )
     templates = checkpointed(templates.withColumn("shingles", F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))))
-    mins = [F.array_min(F.transform("shingles", lambda s, i=i: F.xxhash64(s, F.lit(i)))) for i in range(BANDS * ROWS)]
+    # A lambda of two parameters would be given the place of the shingle as its second one.
+    mins = [F.array_min(F.transform("shingles", _seeded(i))) for i in range(BANDS * ROWS)]
     keys = F.array(*[F.xxhash64(F.lit(b), *mins[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-    banded = templates.select("id", "shingles", F.explode(keys).alias("band"))
-    heads = banded.groupBy("band").agg(F.min("id").alias("head")).where(F.col("head").isNotNull())
-    edges = banded.select("id", "band").join(heads, "band").where("id != head").select("id", "head").distinct()
-    near = (
-        edges.join(templates.select("id", "shingles"), "id")
-        .join(templates.select(F.col("id").alias("head"), F.col("shingles").alias("other")), "head")
+    banded = checkpointed(templates.select("id", F.size("shingles").alias("size"), F.explode(F.array_distinct(keys)).alias("band")))
+    # All pairs of a bucket, block by block, so that no task holds more than a block of a full bucket.
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    held = banded.join(buckets, "band")
+    left = held.select("band", F.pmod("id", "blocks").cast("int").alias("block"), F.col("id").alias("src"), F.col("size").alias("n_src"))
+    right = held.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("dst"), F.col("size").alias("n_dst"))
+    sizes = (F.col("n_src") >= SIMILARITY * F.col("n_dst")) & (F.col("n_dst") >= SIMILARITY * F.col("n_src"))
+    pairs_met = left.join(right, ["band", "block"]).where((F.col("src") < F.col("dst")) & sizes).select("src", "dst").distinct()
+    edges = (
+        pairs_met.join(templates.select(F.col("id").alias("src"), "shingles"), "src")
+        .join(templates.select(F.col("id").alias("dst"), F.col("shingles").alias("other")), "dst")
         .where(F.size(F.array_intersect("shingles", "other")) >= SIMILARITY * F.size(F.array_union("shingles", "other")))
-        .groupBy("id")
-        .agg(F.min("head").alias("head"))
+        .select("src", "dst")
     )
-    one = templates.select("id", "opening", "n", "refused", "kinds").join(near, "id", "left").withColumn("head", F.coalesce(F.least("head", "id"), F.col("id")))
-    up = near.select(F.col("id").alias("head"), F.col("head").alias("top"))
-    clusters = one.join(up, "head", "left").withColumn("cluster", F.coalesce(F.least("top", "head"), F.col("head")))
+    label = components(edges, ROUNDS).withColumnRenamed("component", "cluster")
+    clusters = templates.select("id", "opening", "n", "refused", "kinds").join(label, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     clusters = checkpointed(clusters.select("opening", "cluster", "n", "refused", "kinds"))
     formula = "(?i)^(?:" + "|".join(f"(?:{r})" for r in REFUSAL) + ")$"
     revealed = (

@@ -84,6 +84,19 @@ def test_good_pairs_have_no_defect(found):
     assert not [k for k in found if k[0] == "judge_calibration_v1" or int(k[1]) < 1000]
 
 
+def test_a_chain_of_openings_is_one_cluster(spark):
+    from ledgerloom.llm.pairs import refusal_openings
+
+    words = [f"word{chr(97 + i)}" for i in range(24)]
+    chain = []
+    for i in range(8):
+        words = words[:-1] + [f"end{i}"] if i == 0 else words[1:] + [f"end{i}"]
+        chain.append(" ".join(words))
+    rows = [(o, f"kind {i}", "refused" if i == 0 else "answered", None, "") for i, o in enumerate(chain)]
+    df = spark.createDataFrame(rows, "opening string, kind string, status string, reason string, reason_opening string")
+    assert {r.opening for r in refusal_openings(df).collect()} == set(chain)
+
+
 def test_empty_tables(spark):
     assert broken_pairs(spark.createDataFrame([], JUDGE), spark.createDataFrame([], RESPONSE)).count() == 0
 
