@@ -49,11 +49,11 @@ def ego(edge_table: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     return reached
 
 
-def components(edge_table: DataFrame, rounds: int = 20) -> DataFrame:
+def components(edge_table: DataFrame) -> DataFrame:
     """(id, component): the least id of the connected component, by rounds of least labels until none changes."""
     both = checkpointed(edge_table.select("src", "dst").unionByName(edge_table.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
         low = label.join(near, F.col("id") == F.col("src"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("new"))
         # the label's own label: halves the way that is left
@@ -61,8 +61,7 @@ def components(edge_table: DataFrame, rounds: int = 20) -> DataFrame:
         nxt = checkpointed(low.join(jump, F.col("new") == F.col("rep"), "left").select("id", "component", F.least("new", F.coalesce("rep_new", "new")).alias("new")))
         label = nxt.select("id", F.col("new").alias("component"))
         if nxt.where("component != new").isEmpty():
-            break
-    return label
+            return label
 
 
 def neighbour_pairs(mentions: DataFrame, group: str, item: str) -> DataFrame:
