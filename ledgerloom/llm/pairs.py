@@ -1,11 +1,13 @@
 """Broken prompt and response pairs (problem 2).
 
-Refusals: the openings of all responses are clustered by MinHash over five-word
+Refusals: the first sentences of all responses, with the words of their prompt,
+other figures and other names as slots, are clustered by MinHash over five-word
 shingles: all pairs of a bucket are verified by a Jaccard similarity of 0.8 or
-more, and the verified pairs are closed to connected components. A cluster
-that stands under unrelated prompts and holds recorded refusals is a template of
-refusals, and every response with such an opening and no content after it is
-one; a small set of refusal formulas names templates without a recorded member.
+more, and the verified pairs are closed to connected components. A cluster that
+recurs under prompts which are not related to each other, though it gives no value,
+is a template of refusals, and so is one that recurs with recorded refusals. Every
+response that begins with such a template and gives nothing new after it is a
+refusal. Formulas of refusals name clusters too rare for that.
 Emptiness, copies, languages and the end of the text label the rest. Complete
 endings are learnt: a text without a final mark is complete if its last sentence
 begins and ends as complete sentences of the corpus do.
@@ -30,10 +32,16 @@ from ledgerloom.session import checkpointed
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 2
-#: Words of a response that count as its opening.
-OPENING_WORDS = 24
-#: Openings of a bucket that a task compares with all others, and rounds of joining clusters, each of which halves the longest way.
-BLOCK, ROUNDS = 500, 64
+#: Openings of a bucket that a task compares with all others.
+BLOCK = 500
+#: A template recurs under so many prompts. It needs so many words that are no slot to tell anything, and gives values where more
+#: than this share of its records hold different ones.
+RECURS, FIXED_WORDS, VALUES_SHARE = 3, 4, 0.5
+#: Prompts are unrelated where they share at most so many times the words that two prompts of the corpus share.
+UNRELATED = 1.5
+#: The share of recorded refusals that makes a recurring template one, that of prompts which makes a word a common one, and
+#: the letters of a word that can be what a prompt is about.
+RECORDED_SHARE, COMMON_SHARE, TOPIC_LETTERS = 0.02, 0.02, 4
 
 # Fixed values. Words for a missing value.
 MISSING = "n/a|n\\.a\\.|na|null|none|nil|nan|undefined|missing|void|blank|empty|tbd|not applicable|no answer|no value|no data|\\(null\\)|<null>|<none>"
@@ -43,8 +51,8 @@ LEAD = (
     r"|unfortunately|sadly|regrettably|i'm sorry|i am sorry|sorry|i apologi[sz]e|thanks for asking|thank you for (?:asking|your question)|as far as i can tell|to be honest|having (?:read|reviewed|checked) [\w ]{3,40}"
     r"|after (?:checking|reading|reviewing) [\w ]{3,40})\s*[,;:.]\s*(?:but\s+|that\s+)?)+[\s*_]*"
 )
-# Fixed values. What may follow a refusal.
-TRAIL = r"(?i)(?:,? so nothing can be given here|\s+[-–—]\s+a further document would be needed|[.!]\s+please (?:consult|check|see|refer to)[^.!?]{0,60})"
+# Where a sentence, or a clause that goes on from it, ends.
+SEGMENT = r"(?<=[.!?。])\s+|(?<=。)|\n+|,\s+so\s+|\s+[-–—]\s+"
 # Fixed values. Formulas of refusals, from their first word on.
 REFUSAL = (
     r"i (?:can't|cannot|can not|could not|couldn't|am unable to|am not able to|won't be able to|will not be able to|must decline to|have to decline|am not in a position to) (?:help|answer|respond|find|assist|provide|determine|say|give|locate|comment|share|discuss|be of)\b.*",
@@ -115,23 +123,33 @@ def core(answer: Column) -> Column:
     return F.trim(F.regexp_replace(answer, LEAD, ""))
 
 
-def opening(said: Column) -> Column:
-    """The first words of the first sentence, digits as 0, without what may follow a refusal."""
-    first = F.regexp_extract(F.regexp_replace(said, TRAIL + r"\s*", ". "), r"(?s)^\s*(.*?)(?:[.!?。]+(?:\s|$)|\n|$)", 1)
-    words = F.slice(tokens(F.regexp_replace(first, r"\d[\d.,]*", "0")), 1, OPENING_WORDS)
-    return F.array_join(words, " ")
+def segments(said: Column) -> Column:
+    """The sentences and clauses of an answer that hold a letter or a digit."""
+    return F.filter(F.split(said, SEGMENT), lambda u: u.rlike(LETTER))
 
 
-def follows(said: Column) -> Column:
-    """What comes after the first sentence and the usual words after a refusal."""
-    cut = F.regexp_replace(said, TRAIL + r"\s*", ". ")
-    return F.trim(F.regexp_replace(cut, r"(?s)^\s*.*?(?:[.!?。]+(?:\s|$)|\n|$)", ""))
+def template(segment: Column, asked: Column) -> Column:
+    """Its words in lower case: those of the prompt (``asked``) as ¤, other figures as 0, other names as N; slots in a row count as one."""
+    words = F.regexp_extract_all(segment, F.lit(rf"{CJK}|[\p{{L}}\p{{N}}&&[^぀-ヿ㐀-鿿]]+"), F.lit(0))
+    slot = lambda w, i: F.when(F.array_contains(asked, F.lower(w)), "¤").when(w.rlike(r"^\p{N}"), "0").when((i > 0) & w.rlike(r"^\p{Lu}\p{L}"), "N").otherwise(F.lower(w))
+    return F.regexp_replace(F.array_join(F.transform(words, slot), " "), r"([¤0N])(?: \1)+(?= |$)", "$1")
 
 
-def prompt_kind(prompt: Column) -> Column:
-    """The first words of a prompt without names and figures."""
-    masked = F.regexp_replace(F.regexp_replace(prompt, r"(?<=\s)\p{Lu}[\p{L}'’-]*", "N"), r"\d[\d.,]*", "0")
-    return F.array_join(F.slice(tokens(masked), 1, 4), " ")
+def common_words(prompts: DataFrame) -> DataFrame:
+    """One row with the words that stand in many prompts; a share bounds their number by the length of a prompt."""
+    counted = prompts.select(F.explode(F.concat(F.array(F.lit("")), "q")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total = counted.where("w = ''").select(F.col("n").alias("total"))
+    return counted.where("w != ''").crossJoin(F.broadcast(total)).where(F.col("n") >= COMMON_SHARE * F.col("total")).agg(F.collect_list("w").alias("common"))
+
+
+def relatedness(prompts: DataFrame, group: list[str]) -> DataFrame:
+    """(group, prompts, related): the words that two different prompts of a group share on average, as a share of the
+    words of a prompt. It follows from the counts of the words, so no pair of prompts is made."""
+    n = prompts.groupBy(*group).agg(F.count("*").alias("prompts"), F.sum(F.size("q")).alias("words"))
+    c = F.col("c")
+    shared = prompts.select(*group, F.explode("q").alias("w")).groupBy(*group, "w").agg(F.count("*").alias("c")).groupBy(*group).agg(F.sum(c * (c - 1)).alias("shared"))
+    both = n.join(shared, group) if group else n.crossJoin(F.broadcast(shared))
+    return both.select(*group, "prompts", F.try_divide(F.col("shared"), F.col("words") * (F.col("prompts") - 1)).alias("related"))
 
 
 def language(text: Column, words: Column) -> Column:
@@ -166,22 +184,13 @@ def _seeded(seed: int) -> Callable[[Column], Column]:
     return lambda shingle: F.xxhash64(shingle, F.lit(seed))
 
 
-def refusal_openings(pairs: DataFrame) -> DataFrame:
-    """opening of each template of refusals, found by clustering the openings of all responses."""
-    said = pairs.select("opening", "kind", (F.col("status") == "refused").cast("int").alias("refused"))
-    reasons = pairs.where("status = 'refused' and reason is not null").select(F.col("reason_opening").alias("opening"), "kind", F.lit(1).alias("refused"))
-    templates = (
-        said.unionByName(reasons)
-        .where("opening != ''")
-        .groupBy("opening")
-        .agg(F.count("*").alias("n"), F.sum(F.coalesce("refused", F.lit(0))).alias("refused"), F.approx_count_distinct("kind", 0.05).alias("kinds"))
-        .withColumn("id", F.xxhash64("opening"))
-    )
+def clustered(templates: DataFrame) -> DataFrame:
+    """(id, cluster) of the texts (id, opening) whose five-word shingles are alike: verified MinHash pairs, closed to components."""
     words = F.split("opening", " ")
     shingles = F.when(F.size(words) <= SHINGLE, F.array(F.col("opening"))).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
     )
-    templates = checkpointed(templates.withColumn("shingles", F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))))
+    templates = checkpointed(templates.select("id", F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))).alias("shingles")))
     # A lambda of two parameters would be given the place of the shingle as its second one.
     mins = [F.array_min(F.transform("shingles", _seeded(i))) for i in range(BANDS * ROWS)]
     keys = F.array(*[F.xxhash64(F.lit(b), *mins[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
@@ -199,16 +208,43 @@ def refusal_openings(pairs: DataFrame) -> DataFrame:
         .where(F.size(F.array_intersect("shingles", "other")) >= SIMILARITY * F.size(F.array_union("shingles", "other")))
         .select("src", "dst")
     )
-    label = components(edges, ROUNDS).withColumnRenamed("component", "cluster")
-    clusters = templates.select("id", "opening", "n", "refused", "kinds").join(label, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    clusters = checkpointed(clusters.select("opening", "cluster", "n", "refused", "kinds"))
+    label = components(edges).withColumnRenamed("component", "cluster")
+    return templates.select("id").join(label, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def refusal_openings(pairs: DataFrame) -> DataFrame:
+    """opening of each template of refusals among pairs (opening, first, q, status, foreign).
+
+    A cluster of openings is one where it recurs under prompts that are not related to each other and says nothing
+    that differs from one to the next, or where it recurs and refusals are recorded under it. Answers in another language
+    than their prompt tell nothing about its relation to others. Formulas of refusals name
+    the clusters that are too rare to recur, or stand under prompts of one kind.
+    """
+    said = pairs.where("opening != ''").select("opening", "q", "foreign", F.xxhash64("first").alias("first"), F.xxhash64(F.array_join("q", " ")).alias("prompt"), F.coalesce(F.col("status") == "refused", F.lit(False)).cast("int").alias("refused"))
+    templates = said.groupBy("opening").agg(
+        F.count("*").alias("n"), F.sum("refused").alias("refused"), F.approx_count_distinct("prompt", 0.05).alias("prompts"), F.approx_count_distinct("first", 0.05).alias("fills")
+    )
+    templates = checkpointed(templates.withColumn("id", F.xxhash64("opening")))
+    clusters = checkpointed(templates.join(clustered(templates), "id"))
     formula = "(?i)^(?:" + "|".join(f"(?:{r})" for r in REFUSAL) + ")$"
-    revealed = (
-        clusters.groupBy("cluster")
-        .agg(F.sum("n").alias("n"), F.sum("refused").alias("refused"), F.max("kinds").alias("kinds"), F.count("*").alias("members"), F.sum(_readable_formula(formula).cast("int")).alias("formulas"))
-        .where(((F.col("refused") >= 1) & (F.col("refused") >= 0.02 * F.col("n")) & (F.col("kinds") + F.col("members") >= 3)) | (F.col("formulas") >= 0.5 * F.col("members")))
+    fixed = F.size(F.filter(F.split("opening", " "), lambda w: ~w.isin("¤", "0", "N")))
+    judged = clusters.groupBy("cluster").agg(
+        F.sum("n").alias("n"),
+        F.sum("refused").alias("refused"),
+        F.sum("prompts").alias("prompts"),
+        F.sum(F.when(F.col("opening").rlike(r"(?:^| )[0N](?: |$)"), F.col("fills")).otherwise(1)).alias("fills"),
+        F.count("*").alias("members"),
+        F.min(fixed).alias("fixed"),
+        F.sum(_readable_formula(formula).cast("int")).alias("formulas"),
     )
-    return clusters.join(revealed.select("cluster"), "cluster").select("opening")
+    judged = checkpointed(judged)
+    recurs = F.col("prompts") >= RECURS
+    plain = judged.where(recurs & (F.col("fixed") >= FIXED_WORDS) & (F.col("fills") - F.col("members") < VALUES_SHARE * F.col("n")))
+    meant = said.where("not foreign").join(clusters.select("opening", "cluster"), "opening").join(plain.select("cluster"), "cluster").groupBy("cluster", "prompt").agg(F.first("q").alias("q"))
+    usual = relatedness(said.groupBy("prompt").agg(F.first("q").alias("q")), []).select(F.col("related").alias("usual"))
+    apart = relatedness(meant, ["cluster"]).crossJoin(F.broadcast(usual)).where((F.col("prompts") >= RECURS) & (F.col("related") <= UNRELATED * F.col("usual"))).select("cluster")
+    named = judged.where((recurs & (F.col("refused") >= 1) & (F.col("refused") >= RECORDED_SHARE * F.col("n"))) | (F.col("formulas") >= 0.5 * F.col("members"))).select("cluster")
+    return clusters.join(apart.union(named).distinct(), "cluster").select("opening")
 
 
 def _readable_formula(formula: str) -> Column:
@@ -275,25 +311,35 @@ def broken_pairs(judged: DataFrame, responses: DataFrame) -> DataFrame:
     said, raw = F.col("said"), ("pair_table", "pair_key", "status", "input", "answer", "reason")
     pairs = once(pairs, *raw, said=core(F.col("answer")))
     pairs = once(pairs, *raw, "said", q=F.array_distinct(tokens(F.col("input"))), a=F.array_distinct(tokens(F.regexp_replace(said, label, ""))), content=has_content(said))
+    prompts = pairs.select("q").where(F.size("q") > 0).distinct()
+    pairs = pairs.withColumn("parts", F.when(F.col("content"), segments(said))).withColumn("reason_parts", segments(core(F.col("reason"))))
+    pairs = pairs.crossJoin(F.broadcast(common_words(prompts))).withColumn("asked_for", F.filter(F.array_except("q", "common"), lambda w: (F.length(w) >= TOPIC_LETTERS) | w.rlike(r"^\p{N}")))
+    names = F.regexp_like("input", F.lit("(?i)" + "|".join(LANGUAGE_NAMES.values())))
     facts = once(
         pairs,
         *raw,
         "content",
-        opening=F.when(F.col("content"), opening(said)).otherwise(F.lit("")),
-        reason_opening=F.when(F.col("reason").isNotNull(), opening(core(F.col("reason")))).otherwise(F.lit("")),
-        after=F.when(F.col("content"), follows(said)).otherwise(F.lit("")),
-        kind=prompt_kind(F.coalesce("input", F.lit(""))),
+        "q",
+        "asked_for",
+        "parts",
+        first=F.coalesce(F.get("parts", F.lit(0)), F.lit("")),
+        opening=F.coalesce(template(F.get("parts", F.lit(0)), F.col("asked_for")), F.lit("")),
+        reason_first=F.coalesce(F.get("reason_parts", F.lit(0)), F.lit("")),
+        reason_opening=F.coalesce(template(F.get("reason_parts", F.lit(0)), F.col("asked_for")), F.lit("")),
         copied=F.coalesce(is_copy(F.col("input"), F.col("answer"), F.col("q"), F.col("a")), F.lit(False)),
         asked=language(F.col("input"), F.col("q")),
         spoken=language(said, F.col("a")),
-        wanted=asked_language(F.coalesce("input", F.lit(""))),
+        wanted=F.when(names, asked_language(F.col("input"))).otherwise(F.array()),
     )
     facts = checkpointed(facts)
-    refusals = refusal_openings(facts)
-    said = facts.join(refusals.select("opening", F.lit(True).alias("refuses")).distinct(), "opening", "left")
-    said = said.join(refusals.select(F.col("opening").alias("reason_opening"), F.lit(True).alias("reason_refuses")).distinct(), "reason_opening", "left")
-    refused = (F.col("status") == "refused") | (~F.col("content") & F.col("reason_refuses")) | (F.col("refuses") & ~F.col("after").rlike(r"\p{N}") & (F.length("after") <= 120))
-    foreign = F.col("asked").isNotNull() & F.col("spoken").isNotNull() & (F.col("spoken") != F.col("asked")) & ~F.array_contains("wanted", F.col("spoken"))
+    foreign = F.coalesce((F.col("spoken") != F.col("asked")) & ~F.array_contains("wanted", F.col("spoken")), F.lit(False))
+    reasons = facts.where("status = 'refused'").select(F.col("reason_opening").alias("opening"), F.col("reason_first").alias("first"), "q", "status", F.lit(False).alias("foreign"))
+    refusals = checkpointed(refusal_openings(facts.select("opening", "first", "q", "status", foreign.alias("foreign")).unionByName(reasons)).distinct())
+    said = facts.join(refusals.select("opening", F.lit(True).alias("refuses")), "opening", "left")
+    said = said.join(refusals.select(F.col("opening").alias("reason_opening"), F.lit(True).alias("reason_refuses")), "reason_opening", "left")
+    # What follows a refusal must not give a figure or a name that the prompt has not.
+    answers = F.exists(F.slice("parts", 2, 1 << 30), lambda u: template(u, F.col("asked_for")).rlike(r"(?:^| )[0N](?: |$)"))
+    refused = (F.col("status") == "refused") | (~F.col("content") & F.col("reason_refuses")) | F.when(F.col("refuses"), ~answers)
     defect = F.when(F.coalesce(refused, F.lit(False)), "refusal").when(~F.col("content"), "empty").when(F.col("copied"), "copy").when(foreign, "language")
     first = checkpointed(said.select("pair_table", "pair_key", "answer", defect.alias("defect")))
     ends = truncated_pairs(first.where("defect is null"))

@@ -92,11 +92,85 @@ def test_a_chain_of_openings_is_one_cluster(spark):
     for i in range(8):
         words = words[:-1] + [f"end{i}"] if i == 0 else words[1:] + [f"end{i}"]
         chain.append(" ".join(words))
-    rows = [(o, f"kind {i}", "refused" if i == 0 else "answered", None, "") for i, o in enumerate(chain)]
-    df = spark.createDataFrame(rows, "opening string, kind string, status string, reason string, reason_opening string")
+    rows = [(o, o, [f"kind{i}", "of", "prompt"], "refused" if i == 0 else "answered", False) for i, o in enumerate(chain)]
+    df = spark.createDataFrame(rows, "opening string, first string, q array<string>, status string, foreign boolean")
     assert {r.opening for r in refusal_openings(df).collect()} == set(chain)
 
 
+TOPICS = "harbour copper meadow ribbon anchor velvet timber lantern saddle thunder pebble orchard canyon mirror cactus falcon".split()
+
+
+def unrelated(n):
+    """Prompts that share no more than the words of any question."""
+    return [f"{('How', 'Why', 'When', 'Where')[i % 4]} would {TOPICS[i % 16]}{i} {TOPICS[(i * 7 + 3) % 16]} meet {TOPICS[(i * 5 + 1) % 16]}{i * 3}?" for i in range(n)]
+
+
+def found_in(spark, rows):
+    responses = [(i, q, a, s, None, "k") for i, (q, a, s) in enumerate(rows)]
+    out = broken_pairs(spark.createDataFrame([], JUDGE), spark.createDataFrame(responses, RESPONSE)).where("defect = 'refusal'")
+    return {int(r.pair_key) for r in out.collect()}
+
+
+def test_a_template_under_unrelated_prompts_is_a_refusal_without_any_formula(spark):
+    base = [(q, a, "answered") for q, a in corpus()]
+    refusals = [(q, "Our desk keeps silence on matters of this nature.", "answered") for q in unrelated(120)]
+    assert found_in(spark, base + refusals) == set(range(len(base), len(base) + 120))
+
+
+def test_a_template_with_names_is_one_template(spark):
+    base = [(q, a, "answered") for q, a in corpus()]
+    names = [f"{a}{b} Partners" for a in ("Quor", "Zan", "Mert", "Hax", "Vel", "Tib", "Nor", "Lor") for b in ("dale", "mond", "lith", "vey", "rado", "bexa", "lune", "tesk")][:60]
+    refusals = [(q, f"Our desk keeps silence on matters that touch {n} today.", "refused" if i < 2 else "answered") for i, (q, n) in enumerate(zip(unrelated(60), names, strict=True))]
+    assert found_in(spark, base + refusals) == set(range(len(base), len(base) + 60))
+
+
+def test_a_template_that_gives_values_is_no_refusal(spark):
+    rows = [(q, f"It came to {100 + 17 * i} units at the end of the period under review.", "answered") for i, q in enumerate(unrelated(60))]
+    rows += [(q, a, "answered") for q, a in corpus()]
+    assert not found_in(spark, rows)
+
+
+def test_an_answer_after_a_refusal_is_no_refusal(spark):
+    base = [(q, "Our desk keeps silence on matters of this nature.", "answered") for q in unrelated(40)]
+    rows = base + [("Why would harbour meet velvet?", "Our desk keeps silence on matters of this nature. The price was 48 dollars.", "answered")]
+    assert len(base) not in found_in(spark, rows)
+
+
+def test_relatedness_is_the_mean_over_all_pairs(spark):
+    from itertools import permutations
+
+    from ledgerloom.llm.pairs import relatedness
+
+    sets = [["a", "b", "c"], ["a", "d"], ["b", "c", "e", "f"], ["g"]]
+    got = relatedness(spark.createDataFrame([("k", s) for s in sets], "k string, q array<string>"), ["k"]).collect()[0]
+    pairs = list(permutations(sets, 2))
+    want = sum(len(set(a) & set(b)) for a, b in pairs) / sum(len(a) for a, _ in pairs)
+    assert got.prompts == 4 and abs(got.related - want) < 1e-12
+
+
+def test_clusters_recall_the_brute_force_links(spark):
+    import random
+
+    from ledgerloom.llm.pairs import clustered
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 34))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            copy[rng.choice((0, len(copy) - 1))] = rng.choice(words)
+            texts.append(copy)
+    rows = sorted({" ".join(t) for t in texts})
+    got = {r.id: r.cluster for r in clustered(spark.createDataFrame(list(enumerate(rows)), "id long, opening string")).collect()}
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    assert len(links) > 100
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+
+
 def test_empty_tables(spark):
     assert broken_pairs(spark.createDataFrame([], JUDGE), spark.createDataFrame([], RESPONSE)).count() == 0
 
