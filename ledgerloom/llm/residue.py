@@ -8,10 +8,13 @@ the same in nearly all distinct texts of its template is part of the text and is
 not; a span that can only be a variable always is one. Quoted spans and sentences about
 placeholders are no residue.
 
-Error pages and script notices: known sentences are taken out of a short page,
-navigation after them; further sentences of a page count as its template when
-they recur in pages that hold nothing else. A page of which nothing is left is
-reported.
+Filler: words of blind text, words and phrases that repeat themselves, sentences
+that stand three times in a row wherever the corpus holds them, and fixed sentences
+that the corpus mostly holds beside those.
+
+Error pages and script notices: known sentences are taken out of a text, navigation
+after them; further sentences count as a page's template when they recur in texts
+that hold nothing else. A text of which nothing is left is reported.
 
 Defined results: null, empty and blank texts give no row; a text of several
 kinds gets the first of placeholder, filler, error_page, script_notice; repeated
@@ -30,12 +33,12 @@ from ledgerloom.session import checkpointed
 QUOTES = "\"'`“”„‟‘’‚«»‹›"
 # Fixed values. Spans that name a variable, hold a default or a failed fill.
 STRONG = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"\$\{[^{}\n]{1,80}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"<%=?[^%\n]{1,80}%>",
+    r"\{\{[^{}\n]+\}\}",
+    r"\$\{[^{}\n]+\}",
+    r"\{%[^%\n]+%\}",
+    r"<%=?[^%\n]+%>",
     r"%\([A-Za-z_]\w*\)[sdif]",
-    r"\[\[[^\[\]\n]{1,60}\]\]",
+    r"\[\[[^\[\]\n]+\]\]",
     r"<<\s?[A-Za-z][\w .-]{0,60}>>",
     r"«[A-Za-z][A-Za-z0-9_]{1,40}»",
     r"@@[A-Za-z]\w*@@",
@@ -55,6 +58,7 @@ STRONG = (
 WEAK = (
     r"(?<![\w{$])\{(?:\d{1,2}|[A-Za-z_][A-Za-z0-9_]{0,40})\}(?!\})",
     r"(?<!\[)\[[A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*){0,4}\](?!\])",
+    r"<[a-z]+(?:[ _][a-z]+){1,5}>",
     r"(?<![\w-])undefined(?![\w-])",
     r"(?<![\w/])(?:XX|DD|MM)[/.](?:XX|DD|MM)[/.](?:20)?(?:XX|YY)(?:XX|YY)?(?!\w)",
     r"(?<![\w\"':])(?:NaN|null)(?![\w\"'])",
@@ -73,7 +77,7 @@ BARE = (
 # Fixed values. Texts with wide spaces or letters of random case throughout are no sign of a blank or a name.
 NOISE = ((r" +", r"\S {2,}\S"), (r"[a-z]+(?:[A-Z][a-z0-9]+)+", r"[A-Z]{2}[a-z]|[a-z][A-Z]{2}|[A-Z][a-z][A-Z]"))
 LITERAL = r"(?i)^\[(?:reserved|sic|signatures?.*|intentionally.*|omitted|redacted|table of contents|note|notes|graphic|image|logo|seal|page.*|end.*|remainder.*|emphasis.*|laughter|inaudible|applause)\]$"
-TALK = r"(?i)\b(?:slots?|placeholders?|templates?|marks?|such as|for example|e\.g\.|for instance|so-called|variables?|syntax|escap\w+|literal\w*|docstring|regex|drafts?|call(?:ed|s)|written as|notation)\b"
+TALK = r"(?i)\b(?:slots?|placeholders?|templates?|marks?|such as|for example|e\.g\.|for instance|so-called|variables?|syntax|escap\w+|literal\w*|docstring|regex|drafts?|call(?:ed|s)|written as|notation|jinja\w*|mustache|handlebars|braces|brackets|render\w*|in (?:the|a|this|that) (?:field|column)s?|keywords?)\b"
 
 # Fixed values. Filler: words of the usual blind text, and sentences that hold a place.
 LOREM = (
@@ -93,14 +97,10 @@ FILLER = (
     r"(?:^|[.!?:\n]\s*)sample text\s*(?:[.!]|$|\n)",
     r"replace this (?:paragraph|text|sentence|copy|content) with your own",
     r"(?:add|enter|put|place|insert) (?:a |an |your |some )?(?:short |brief |own )?(?:introduction|text|description|summary|paragraph|content|words) (?:to your \w+ |of your \w+ )?(?:at this point|here|in this box|in this space)",
-    r"write something about [^.\n]{1,60}? in this box",
-    r"(?:^|[.!?:\n]\s*)heading (?:one|two|three|1|2|3)\.",
-    r"body copy body copy",
-    r"the quick sample sentence fills this line",
-    r"final wording to follow",
 )
 LOREM_WORD = r"\b(?:lorem|ipsum|dolor|amet|elit|vetra|fermo|conse)\b"
-REPEATED = r"(?<![\p{L}\p{N}])(\p{L}{2,20}+)(?:\s++\1){7}(?![\p{L}\p{N}])"
+NAVIGATION = r"^[^\p{L}\p{N}]*(?:[\p{L}\p{N}]+[^\p{L}\p{N}.!?;,]*){0,4}[.!?]?\s*$"
+REPEATED = r"(?<![\p{L}\p{N}])(?:(\p{L}{2,20}+)(?:\s++\1){7}|(\p{L}{3,20}+\s\p{L}{3,20}+)(?:\s\2){2})(?![\p{L}\p{N}])"
 
 # Fixed values. Sentences of pages. THING stands for what a page speaks of.
 THING = r"\b(?:the|this|your|our|that)(?:\s+[\w'-]+){1,4}?"
@@ -110,11 +110,10 @@ ERROR = (
     r"bad gateway(?: \(\d+\))?|gateway time-?out|(?:404 )?not found(?=[.!\s]|$)|(?:403 )?forbidden(?=[.!\s]|$)|internal server error|service unavailable|too many requests|request blocked|request rejected",
     r"(?:404 )?page not found|page introuvable|seite nicht gefunden|p[áa]gina no encontrada|pagina non trovata|pagina niet gevonden|access denied|zugriff verweigert|acc[èe]s refus[ée]|acceso denegado",
     r"die angeforderte seite wurde nicht gefunden|erreur \d+ : document introuvable|la p[áa]gina (?:solicitada )?no (?:existe|se ha encontrado|está disponible)|la page demand[ée]e (?:est introuvable|n'existe pas)|el servicio no está disponible(?: en este momento)?|der (?:server|dienst) ist (?:derzeit|zurzeit|momentan) nicht (?:erreichbar|verfügbar)|le service est (?:temporairement )?indisponible",
-    rf"{THING}\s+(?:could not be (?:found|located|served|loaded|displayed|reached|opened|completed|retrieved|processed)|cannot be (?:found|displayed|reached|loaded|opened|shown|served)|can't be (?:found|reached|displayed)|timed out|is (?:temporarily |currently |no longer )?(?:unavailable|not available|available only)|has (?:been )?(?:moved or removed|moved|removed|expired|been deleted)|returned (?:status|error|code)\s*\d*|was refused|was not found|failed to load|failed|is open to [\w-]+ users only|is busy|does not exist|took too long|was blocked|has been (?:limited|blocked|denied|suspended))(?:\s+(?:on this server|by the remote host|within the time limit|at the moment|for you|to respond|at this time|with status \d+|from this address))?",
+    rf"{THING}\s+(?:could not be (?:found|located|served|loaded|displayed|reached|opened|completed|retrieved|processed)|cannot be (?:found|displayed|reached|loaded|opened|shown|served)|can't be (?:found|reached|displayed)|timed out|is (?:temporarily |currently |no longer )?(?:unavailable|not available|available only)|has (?:been )?(?:moved or removed|moved|removed|expired|been deleted)|returned (?:status|error|code)\s*\d*|is (?:open|available|restricted|limited|visible) (?:only )?to (?:[\w-]+ )?(?:users|members|subscribers)(?: only)?|was refused|was not found|failed to load|failed|is busy|does not exist|took too long|was blocked|has been (?:limited|blocked|denied|suspended))(?:\s+(?:on this server|by the remote host|within the time limit|at the moment|for you|to respond|at this time|with status \d+|from this address))?",
     rf"{THING} you (?:asked for|requested|followed|are looking for|were looking for)(?:\s+[\w'-]+){{1,10}}?\s+(?:server|removed|moved|found|located|unavailable|host|limit|out|displayed|only|load|\d+|moment|exist)(?: or the \w+ may have been \w+)?",
     r"the link you followed may be broken[^.\n]{0,60}",
     r"an unexpected (?:condition|error) (?:prevented|occurred|has occurred)[^.\n]{0,60}",
-    r"your traffic was classed[^.\n]{0,80}",
     r"you (?:do not|don't) have (?:permission|access|the rights?) to [^.\n]{2,40}",
     r"upstream connect error[^\n]{0,120}?(?:reset reason: ?[\w ]+|$)",
     r"\{\s*[\"“”]error[\"“”][^\n]{0,200}\}+",
@@ -123,50 +122,48 @@ ERROR = (
     r"traceback \(most recent call last\):|file [\"“”][^\"“”\n]{1,80}[\"“”], line \d+(?:, in [<>\w]+)?|\b[a-z]\w*(?:error|exception)(?:: [^\n]{0,80}?)?(?=\n|$)",
     r"segmentation fault(?: \(core dumped\))?|fatal error:[^\n]{0,100}|panic: [^\n]{0,100}|exception in thread [^\n]{0,100}|null pointer exception|stack overflow",
     r"(?:your )?session (?:has )?expired|rate limit (?:was |has been )?exceeded|the service is busy[^.\n]{0,30}|connection (?:was )?(?:refused|reset|closed)[^.\n]{0,40}|(?:scheduled|under) maintenance",
-    r"something went wrong|an error (?:has )?occurred|sorry, (?:an error|something)[^.\n]{0,40}",
+    r"(?:^|\n)\s*(?:oops|whoops)\b[!.…]*|something went wrong|an error (?:has )?occurred|sorry, (?:an error|something)[^.\n]{0,40}",
 )
 NOTICE = (
-    r"(?:please )?(?:enable|activate|turn on|allow|switch on) (?:java ?script|scripts?|scripting|active scripts?)(?: and cookies)?(?: (?:to|in|for|and|on)\b[^.\n]{0,60})?",
+    r"(?:to (?:continue|proceed|go on)[ ,]+)?(?:please )?(?:enable|activate|turn on|allow|switch on|permit) (?:java ?script|scripts?|scripting|active scripts?)(?: and cookies)?(?: (?:to|in|for|and|on)\b[^.\n]{0,60}|, then [^.\n]{0,60})?",
+    r"(?:[^.\n;]{0,60};\s*)?(?:java ?script|scripts?|scripting) (?:must|needs? to|ha(?:s|ve) to) be (?:allowed|enabled|permitted|active|switched on)[^.\n]{0,60}",
+    r"\ban? (?:[\w-]+ )?browser with (?:[\w-]+ ){0,2}(?:java ?script|scripts?|scripting)(?: [\w-]+)? is (?:needed|required)[^.\n]{0,60}",
     r"(?:bitte )?aktivieren sie java ?script[^.\n]{0,60}|veuillez activer java ?script[^.\n]{0,60}|(?:por favor,? )?activ(?:e|ar) java ?script[^.\n]{0,60}|(?:si prega di )?(?:abilitare|attivare|attiva) java ?script[^.\n]{0,60}|schakel java ?script in[^.\n]{0,60}",
     r"java ?script (?:is|must be|has to be|needs to be) (?:required|disabled|enabled|turned on|turned off|needed|off)[^.\n]{0,50}",
     r"you must have java ?script[^.\n]{0,60}|you need (?:to enable )?java ?script[^.\n]{0,60}",
     r"your browser does(?: not|n't) support (?:java ?)?script(?:ing|s)?[^.\n]{0,50}|your browser has (?:java ?)?script(?:ing|s)? (?:disabled|turned off)[^.\n]{0,40}",
     r"we're sorry,? but [^.\n]{0,40}?does(?:n't| not) work properly without java ?script[^.\n]{0,30}",
     rf"(?:{THING})\s+(?:requires?|needs?|relies on|depends on|only works with|will not (?:load|work|run) without|cannot (?:run|load|start|work|be shown) without|does not (?:load|work|run) without)\s+(?:active |client-side |browser )?(?:java ?script|script support|scripting|scripts?\b)(?: and cookies| support|, which is switched off| enabled| to run(?:, but they are switched off in your browser)?)?",
-    r"to continue, allow scripts?[^.\n]{0,40}",
-    r"checking your browser; scripts must be allowed[^.\n]{0,30}",
-    r"a modern browser with active scripts permitted[^.\n]{0,50}",
-    r"(?:this viewer|this page|this site) needs scripts to run[^.\n]{0,60}",
 )
 CHROME = (
     r"reload the page(?: afterwards)?|loading(?:\.\.\.|…)?|instructions for the most common browsers[^.\n]{0,60}|if you use a blocker[^.\n]{0,60}",
     r"return to the home page[^.\n]{0,40}|please (?:try again|sign in)[^.\n]{0,40}|try again later|if the problem persists[^.\n]{0,80}|reference number:? [\d.]+|(?:incident|request|ray) id:? [\w-]+",
-    r"vuelva a intentarlo[^.\n]{0,30}|bitte versuchen sie es[^.\n]{0,30}|veuillez r[ée]essayer[^.\n]{0,30}|riprovare[^.\n]{0,30}|oops|whoops|chart:|</?noscript>|</?(?:html|body|h1|p|div|title|center|hr|br)[^>]{0,40}>",
+    r"vuelva a intentarlo[^.\n]{0,30}|bitte versuchen sie es[^.\n]{0,30}|veuillez r[ée]essayer[^.\n]{0,30}|riprovare[^.\n]{0,30}|</?noscript>|</?(?:html|body|h1|p|div|title|center|hr|br)[^>]{0,40}>",
 )
 # Cheap tests that every candidate passes, so that few texts meet the patterns above.
 SPAN_HINT = r"[{\[<«]|@@|%%|%\(|#[A-Z]|__[A-Za-z]|&lt;|undefined|XX[/.]|DD[/.]|MM[/.]|NaN|null|Invalid"
 FILLER_HINT = (
     "placeholder", "dummy", "sample", "filler", "blind", "platzhalter", "muster", "f\u00fclltext", "relleno", "remplacement", "segnaposto", "vulling", "vultekst", "faux", " here", "coming soon", "replace this",
-    "at this point", "in this box", "in this space", "heading ", "body copy", "final wording", "example",
+    "at this point", "in this box", "in this space", "example",
 )
 LOREM_HINT = ("lorem", "ipsum", "dolor", "vetra", "fermo", "conse ")
 PAGE_WORDS = (
     " script", "\nscript", ">script", "javascript", "java script", "scripting", "error", "erreur", "fehler", "gateway", "timeout", "time-out", "timed out", "forbidden", "verboten", "access denied", "verweigert", "refus",
-    "denegado", "not found", "introuvable", "nicht gefunden", "no encontrada", "non trovata", "niet gevonden", "could not be", "cannot be", "can't be", "unavailable", "not available", "disponible", "derzeit nicht",
-    "moved or removed", "has been moved", "returned status", "failed to load", "signed-in", "request blocked", "request rejected", "too many requests", "http", "went wrong", "traceback", "exception", "upstream",
-    "does not exist", "no longer", "took too long", "classed as", "have permission to", "may be broken", "unexpected", "segmentation", "panic:", "session", "rate limit", "busy", "connection", "maintenance",
+    "denegado", "errore", "not found", "introuvable", "nicht gefunden", "no encontrada", "non trovata", "niet gevonden", "could not be", "cannot be", "can't be", "unavailable", "not available", "disponible", "derzeit nicht",
+    "moved or removed", "has been moved", "returned status", "returned error", "returned code", "failed", "has expired", "been deleted", "was not found", "was blocked", "has been limited", "has been denied", "has been suspended", "open to", "restricted to", "limited to", "visible to", "available to", "only to", "you asked for", "you requested", "you followed", "looking for", "request blocked", "request rejected", "too many requests", "http", "went wrong", "traceback", "exception", "upstream",
+    "does not exist", "n'existe pas", "no existe", "no se ha encontrado", "zurzeit nicht", "momentan nicht", "no longer", "took too long", "null pointer", "stack overflow", "fatal", "too many", "unauthorized", "bad request", "method not", "oops", "whoops", "service is", "your session", "have permission to", "may be broken", "unexpected", "segmentation", "panic:", "session", "rate limit", "busy", "connection", "maintenance",
 )
-PAGE_HINT = (
-    r"\bscripts?\b|javascript|scripting|\berror|erreur|fehler|gateway|time-?out|timed out|forbidden|verboten|access denied|verweigert|refus|denegado|not found|introuvable|nicht gefunden|no encontrada|non trovata|niet gevonden"
-    r"|could not be|cannot be|can't be|unavailable|not available|indisponible|no está disponible|derzeit nicht|moved or removed|has been moved|returned status|was refused|failed to load|signed-in users|request blocked|request rejected"
-    r"|too many requests|\bhttp|went wrong|traceback|[a-z]exception|exception in thread|upstream connect|does not exist|no longer|took too long|classed as|have permission to|may be broken|unexpected condition|unexpected error|segmentation|panic:|session (?:has )?expired|rate limit|is busy|connection (?:was )?(?:refused|reset|closed)|(?:scheduled|under) maintenance"
-    r"|(?:^|\n)\s*[45]\d\d\b"
-)
-#: A longer text than this can't be only a message; it is the length of the longest page with its navigation.
-PAGE_CHARS = 4000
-#: Sentences that are in this many pages of known sentences only, and in few others, belong to the page.
-PAGE_SUPPORT = 5
-CONTEXT = 24
+#: A sentence belongs to pages, or to filler, where so many texts and this share of all texts with it hold it beside known ones.
+SUPPORT, SUPPORT_SHARE = 5, 0.8
+#: A longer sentence is no entry of a navigation and none of its usual sentences.
+LINE_CHARS = 120
+#: A text of recurring page sentences alone is a page where this share of all texts with them holds a known one.
+PAGE_SHARE = 0.34
+#: A sentence that stands three times in a row is filler where it does so in so many texts and this share of all texts with it;
+#: one that stands beside filler where it does so in this share.
+REPEAT_TEXTS, REPEAT_SHARE, BESIDE_SHARE = 3, 0.5, 0.5
+#: Characters around a span that its own sentence is sought in.
+CONTEXT = 200
 #: A span that may be ordinary text is text where its form fills this share of the distinct texts of its template; fewer texts tell nothing.
 LITERAL_SHARE, LITERAL_TEXTS = 0.9, 3
 #: A slot is induced where this share of the distinct texts of a template hold values, and so many different ones.
@@ -192,18 +189,44 @@ def readable(documents: DataFrame) -> DataFrame:
     return once(spread(documents.select("doc_id", "text")), "doc_id", t=plain(F.col("text"))).where(F.col("t").rlike(r"\S"))
 
 
+def sentences(low: Column) -> Column:
+    """Sentences, lines and entries of lists of a text in lower case."""
+    return F.filter(F.transform(F.split(low, r"(?<=[.!?])\s+|\n+|\s*[|>·•]\s*"), F.trim), lambda u: u.rlike(r"[\p{L}\p{N}]"))
+
+
+def hashes(units: Column) -> Column:
+    """Hashes of the sentences that are no navigation, with figures as 0."""
+    content = F.filter(units, lambda u: (F.length(u) > LINE_CHARS) | ~u.rlike(NAVIGATION) & ~u.rlike(f"^{_any(CHROME)}[.!]?$"))
+    return F.transform(content, lambda u: F.xxhash64(F.regexp_replace(u, r"\d+", "0")))
+
+
 def candidates(documents: DataFrame) -> DataFrame:
-    """(doc_id, t, low, span, bare, fill, page): the texts that pass a cheap test, read once."""
+    """(doc_id, t, low, span, bare, fill, page, repeats, units): every text with hashes of its sentences and of those that
+    stand three times in a row, read once; t and low only where a cheap test tells that a pattern may be met."""
     docs = readable(documents)
     docs = once(docs, "doc_id", "t", low=F.lower("t"))
-    low = F.col("low")
+    docs = once(docs, "doc_id", "t", "low", said=sentences(F.col("low")))
+    low, said = F.col("low"), F.col("said")
+    often = F.size(said) - F.size(F.array_distinct(said)) >= 2
+    again = F.when(often, F.filter(said, lambda u, i: (i > 1) & (u == F.get(said, i - 1)) & (u == F.get(said, i - 2)))).otherwise(F.array().cast("array<string>"))
     tests = {
         "span": F.col("t").rlike(SPAN_HINT),
-        "bare": F.col("t").rlike(_any(BARE)),
+        "bare": _matches(F.col("t"), BARE),
         "fill": _has(low, FILLER_HINT + LOREM_HINT) & low.rlike(_any(FILLER + (LOREM_WORD,))) | low.rlike(REPEATED),
-        "page": (F.length("t") <= PAGE_CHARS) & (_has(low, PAGE_WORDS) | low.startswith("script") | low.rlike(r"^\s*[45]\d\d\b|\n\s*[45]\d\d\b")) & low.rlike(PAGE_HINT),
+        "page": (_has(low, PAGE_WORDS) | low.startswith("script") | low.rlike(r"^\s*[45]\d\d\b|\n\s*[45]\d\d\b")) & _matches(low, NOTICE + ERROR),
+        "repeats": F.array_distinct(hashes(again)),
+        "units": F.array_distinct(hashes(said)),
     }
-    return checkpointed(once(docs, "doc_id", "t", "low", **tests).where("span or bare or fill or page"))
+    met = F.expr("span or bare or fill or page")
+    return checkpointed(once(docs, "doc_id", "t", "low", **tests).select("doc_id", *(F.when(met, F.col(c)).alias(c) for c in ("t", "low")), *tests))
+
+
+def _matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether one of the patterns is found; one by one they are searched faster than as a choice."""
+    found = F.lit(False)
+    for p in patterns:
+        found = found | text.rlike(p)
+    return found
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
@@ -243,67 +266,69 @@ def unfilled(docs: DataFrame, documents: DataFrame) -> DataFrame:
     return spans.where("strong").select("doc_id").union(kept.select("doc_id")).distinct()
 
 
-def filler(docs: DataFrame) -> DataFrame:
-    """doc_id of the texts with filler in place of content."""
-    low, docs = F.col("low"), docs.where("fill")
+def counted(docs: DataFrame) -> DataFrame:
+    """(unit, texts, repeats): the texts that hold each sentence, and those in which it stands three times in a row."""
+    held = docs.select(F.explode("units").alias("unit"), "repeats")
+    return held.groupBy("unit").agg(F.count("*").alias("texts"), F.count_if(F.array_contains("repeats", F.col("unit"))).alias("repeats"))
+
+
+def holding(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id of the texts with one of the sentences ``units``."""
+    return docs.select("doc_id", F.explode("units").alias("unit")).join(units.select("unit"), "unit", "left_semi").select("doc_id").distinct()
+
+
+def filler(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc_id of the texts with filler in place of content: words and sentences of blind text, sentences that repeat
+    themselves wherever they stand, and fixed sentences that stand beside those."""
+    low, some = F.col("low"), docs.where("fill")
     words = F.regexp_extract_all(F.lower("u"), F.lit(r"\p{L}+"), F.lit(0))
     known = F.expr(f"size(array_intersect(w, array({', '.join(repr(w) for w in LOREM)})))")
-    units = docs.where(low.rlike(LOREM_WORD)).select("doc_id", F.explode(F.split("t", r"(?<=[.!?])\s+|\n+")).alias("u")).where(F.lower("u").rlike(LOREM_WORD))
+    units = some.where(low.rlike(LOREM_WORD)).select("doc_id", F.explode(F.split("t", r"(?<=[.!?])\s+|\n+")).alias("u")).where(F.lower("u").rlike(LOREM_WORD))
     latin = units.select("doc_id", words.alias("w")).where((F.size("w") >= 4) & (known >= 0.8 * F.size(F.array_distinct("w")))).select("doc_id")
-    held = docs.where(low.rlike(_any(FILLER)) | low.rlike(REPEATED))
-    return held.select("doc_id").union(latin).distinct()
+    held = some.where(low.rlike(_any(FILLER)) | low.rlike(REPEATED)).select("doc_id")
+    echo = counts.where((F.col("repeats") >= REPEAT_TEXTS) & (F.col("repeats") >= REPEAT_SHARE * F.col("texts")))
+    first = checkpointed(held.union(latin).union(holding(docs, echo)).distinct())
+    beside = docs.join(first, "doc_id", "left_semi").select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("beside")).where(F.col("beside") >= SUPPORT)
+    fixed = beside.join(counts, "unit").where(F.col("beside") >= BESIDE_SHARE * F.col("texts"))
+    return first.union(holding(docs, fixed)).distinct()
 
 
-def pages(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the texts that are nothing but an error or a script notice."""
+def pages(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, kind) of the texts that are nothing but an error or a script notice: known sentences, and those
+    that recur in texts which hold nothing else."""
     error, notice, chrome = (_any(p) for p in (ERROR, NOTICE, CHROME))
     rest = F.regexp_replace(F.col("low"), notice, " ¤n¤ \n")
     rest = F.regexp_replace(rest, error, " ¤e¤ \n")
     rest = F.regexp_replace(rest, chrome, "\n")
     seen = once(docs.where("page"), "doc_id", rest=rest).where(F.col("rest").rlike("¤[en]¤"))
-    units = F.split(F.regexp_replace("rest", r"¤[en]¤", "\n"), r"(?<=[.!?])\s+|\n+|\s*[|>·•]\s*")
     kind = F.when(F.col("rest").contains("¤e¤"), "error_page").otherwise("script_notice")
-    seen = checkpointed(seen.select("doc_id", kind.alias("kind"), _unknown(units).alias("unknown")).distinct())
+    seen = checkpointed(seen.select("doc_id", kind.alias("kind"), F.array_distinct(hashes(sentences(F.regexp_replace("rest", r"¤[en]¤", "\n")))).alias("unknown")).distinct())
     alone = F.col("alone").cast("int")
     support = (
         seen.select("kind", F.explode("unknown").alias("unit"), (F.size("unknown") == 1).alias("alone"))
         .groupBy("unit")
         .agg(F.sum(alone).alias("support"), F.count("*").alias("n"), F.min_by("kind", F.struct(~F.col("alone"), "kind")).alias("kind"))
-        .where((F.col("support") >= PAGE_SUPPORT) & (F.col("support") >= 0.8 * F.col("n")))
+        .where((F.col("support") >= SUPPORT) & (F.col("support") >= SUPPORT_SHARE * F.col("n")))
     )
     support = checkpointed(support)
     content = seen.select("doc_id", F.explode("unknown").alias("unit")).join(support, "unit", "left_anti")
-    return seen.select("doc_id", "kind").join(content, "doc_id", "left_anti").union(_page_texts(support, seen, documents)).distinct()
-
-
-def _unknown(units: Column) -> Column:
-    """Hashes of the sentences among ``units`` that are no navigation, with figures as 0."""
-    texts = F.filter(F.transform(units, lambda u: F.trim(u)), lambda u: u.rlike(r"[\p{L}\p{N}]"))
-    unknown = F.filter(texts, lambda u: ~((F.size(F.regexp_extract_all(u, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) <= 4) & ~u.rlike(r"\d.*[.!?]\s*$|[.!?;,]\s*\S")))
-    return F.array_distinct(F.transform(unknown, lambda u: F.xxhash64(F.regexp_replace(u, r"\d+", "0"))))
-
-
-def _page_texts(support: DataFrame, seen: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) of the texts without a known sentence that hold nothing but sentences of pages, where
-    these stand beside a known sentence more often than without."""
-    units = F.split(F.regexp_replace(F.lower("t"), _any(CHROME), "\n"), r"(?<=[.!?])\s+|\n+|\s*[|>·•]\s*")
-    others = readable(documents).join(seen.select("doc_id"), "doc_id", "left_anti")
-    rows = once(others, "doc_id", unknown=_unknown(units)).select("doc_id", F.size("unknown").alias("units"), F.explode("unknown").alias("unit"))
-    held = checkpointed(rows.join(support, "unit"))
-    rare = held.groupBy("unit", "support").agg(F.count("*").alias("n")).where(F.col("n") <= F.col("support")).select("unit")
-    whole = held.join(rare, "unit").groupBy("doc_id", "units").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
-    return whole.where("n = units").select("doc_id", "kind")
+    # Texts without a known sentence that hold nothing but sentences of pages, where these stand beside a known one more often than without.
+    rows = docs.join(seen, "doc_id", "left_anti").select("doc_id", F.size("units").alias("n_units"), F.explode("units").alias("unit"))
+    rare = support.join(counts, "unit").where(F.col("n") >= PAGE_SHARE * F.col("texts")).select("unit", "kind")
+    whole = rows.join(rare, "unit").groupBy("doc_id", "n_units").agg(F.count("*").alias("n"), F.min("kind").alias("kind")).where("n = n_units")
+    return seen.select("doc_id", "kind").join(content, "doc_id", "left_anti").union(whole.select("doc_id", "kind")).distinct()
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of the texts with residue; one kind for each text."""
     docs = candidates(documents)
+    counts = checkpointed(counted(docs).where(F.col("texts") >= REPEAT_TEXTS))
     order = {"placeholder": 1, "filler": 2, "error_page": 3, "script_notice": 4}
     kinds = (
         unfilled(docs, documents)
         .select("doc_id", F.lit("placeholder").alias("kind"))
-        .unionByName(filler(docs).select("doc_id", F.lit("filler").alias("kind")))
-        .unionByName(pages(docs, documents))
+        .unionByName(filler(docs, counts).select("doc_id", F.lit("filler").alias("kind")))
+        .unionByName(pages(docs, counts))
     )
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("kind")]
     return kinds.groupBy("doc_id").agg(F.min_by("kind", rank).alias("kind"))

@@ -50,6 +50,19 @@ CASES = [
     ("Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "script_notice"),
     ("Our storefront depends on JavaScript; users who disable scripts can still place orders by telephone, and such orders made up 36.5% of net sales.", None),
     ("A modern browser with active scripts permitted is needed to load the document.\n" + BODY, None),
+    ("Null pointer exception", "error_page"),
+    ("Stack overflow", "error_page"),
+    ("Der Server ist zurzeit nicht erreichbar.", "error_page"),
+    ("La página no existe.", "error_page"),
+    ("Oops!", "error_page"),
+    ("\n".join(f"Entry {chr(65 + i % 26)}" for i in range(900)) + "\n503 Service Unavailable", "error_page"),
+    ("Traceback (most recent call last):\n" + "".join(f'  File "m{i}.py", line {i}, in run\n' for i in range(400)) + "KeyError: 'text'", "error_page"),
+    ("The agreement is made with <customer name> on the date stated below.", "placeholder"),
+    ("Payment of {{ " + "very_long_name_" * 12 + " }} falls due.", "placeholder"),
+    ("We store null in the field when a filer gives no date.", None),
+    ("Jinja writes {{ user.name }} between braces to print a value.", None),
+    ("foo bar " * 12, "filler"),
+    ("Heading words come first. Body copy body copy body copy.", "filler"),
     (BODY, None),
     ("", None),
     ("   \n\t", None),
@@ -107,6 +120,29 @@ def test_a_weak_form_in_a_slot_that_siblings_fill(spark):
     assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == {0, 1, 2, 3}
 
 
+def test_copies_of_one_unfilled_template_are_found_at_any_number(spark):
+    for n in (4, 35, 700):
+        rows = [(i, "Dear {{name}}, we thank you for your order of last week.", "", False, "") for i in range(n)]
+        assert find_residue(spark.createDataFrame(rows, DOC)).count() == n
+
+
+def test_sentences_that_repeat_themselves_are_filler_wherever_they_stand(spark):
+    line = "Some quiet words stand in this place for now."
+    rows = [(i, " ".join([line] * (3 + i)), "", False, "") for i in range(5)] + [(50, BODY + "\n" + line, "", False, ""), (60, BODY, "", False, "")]
+    assert {r.doc_id: r.kind for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == dict.fromkeys([0, 1, 2, 3, 4, 50], "filler")
+
+
+def test_a_sentence_that_seldom_repeats_itself_is_none(spark):
+    rows = [(i, BODY if i > 2 else " ".join([BODY.split(". ")[0] + "."] * 4), "", False, "") for i in range(20)]
+    assert find_residue(spark.createDataFrame(rows, DOC)).count() == 0
+
+
+def test_fixed_sentences_beside_filler(spark):
+    line = "Write a word or two on the firm in this frame."
+    rows = [(i, "Text goes here. " + line if i < 6 else line, "", False, "") for i in range(9)] + [(99, "Text goes here.\n" + BODY, "", False, ""), (100, BODY, "", False, "")]
+    assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == {*range(9), 99}
+
+
 def test_recurring_sentences_of_pages(spark):
     rows = [(i, "403 Forbidden\nZorblatt says the gate stays shut for now my friend.", "", False, "") for i in range(8)] + [(99, "403 Forbidden\n" + BODY, "", False, "")]
     assert {r.doc_id for r in find_residue(spark.createDataFrame(rows, DOC)).collect()} == set(range(8))
