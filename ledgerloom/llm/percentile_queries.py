@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.percentiles import ERROR, QUANTILES, daily_sketch, session_percentiles
 from ledgerloom.tables import table
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session_percentiles(daily_sketch(table(spark, sf_dir, "sessions")))
+    """The percentiles to twelve significant digits, as two engines compute powers alike only so far."""
+    found = session_percentiles(daily_sketch(table(spark, sf_dir, "sessions")))
+    return found.withColumns({q: F.format_string("%.11e", F.col(q)).cast("double") for q in QUANTILES})
 
 
 def p1_daily_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +24,7 @@ _SKETCH = f"""
 WITH last AS (
   SELECT * FROM sessions
   QUALIFY row_number() OVER (PARTITION BY coalesce(session_id, 'row ' || hash(strategy, created_at, latency_ms, cost_usd, loaded_at))
-    ORDER BY loaded_at DESC NULLS LAST, latency_ms DESC NULLS LAST, cost_usd DESC NULLS LAST) = 1),
+    ORDER BY loaded_at DESC NULLS LAST, latency_ms DESC NULLS LAST, cost_usd DESC NULLS LAST, strategy DESC NULLS LAST, created_at DESC NULLS LAST) = 1),
 measured AS (
   SELECT strategy, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, 'latency_ms' AS metric, latency_ms AS v FROM last WHERE latency_ms > 0 AND isfinite(latency_ms)
   UNION ALL
@@ -31,7 +34,7 @@ sketch AS (
   FROM measured GROUP BY ALL)
 """
 _PICK = ", ".join(
-    f"round(arg_min(sign * 2 * pow({_G!r}, bucket) / ({_G!r} + 1), struct_pack(a := sign, b := sign * bucket)) FILTER (WHERE upto >= greatest(ceil({q} * total), 1)), 9) AS {name}" for name, q in QUANTILES.items()
+    f"CAST(printf('%.11e', arg_min(sign * 2 * pow({_G!r}, bucket) / ({_G!r} + 1), struct_pack(a := sign, b := sign * bucket)) FILTER (WHERE upto >= greatest(ceil({q} * total), 1))) AS DOUBLE) AS {name}" for name, q in QUANTILES.items()
 )
 QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily_sketch": p1_daily_sketch}
 SQL = {

@@ -4,12 +4,13 @@ A value counts in the signed logarithmic bucket i with g**(i-1) < |v| <= g**i,
 g = (1 + a) / (1 - a). Counts of equal buckets add up, across partitions and days,
 so the table of counts is the form that is kept and merged. A percentile is the
 value at rank ceil(q * n), at least 1; the middle 2 * g**i / (g + 1) of its bucket
-is off by at most the share ``a`` of that value, whatever the values are.
+is off by at most the share ``a`` of that value, whatever the values are (below 1e-310
+the spacing of doubles adds to it).
 
 Defined results: nulls, NaN, infinities and values that the column can't measure
 don't count; a group without measurements has no row; null group keys are a group;
 zero has a bucket of its own and no error; of a session that was saved again the
-latest save counts, of equal saves one; other columns are ignored.
+latest save counts, of several at once the one with the largest values; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def percentiles(sketches: DataFrame, groups: list[str], quantiles: dict[str, flo
     quantiles = quantiles or QUANTILES
     first = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(q) * F.col("total")), F.lit(1)), place)).alias(f"at_{name}") for name, q in quantiles.items()]
     at = ranked.groupBy(*groups).agg(F.max("total").alias("n"), *first)
-    value = [F.round(F.col(f"at_{name}.sign") * 2 * F.pow(F.lit(g), F.col(f"at_{name}.bucket")) / (g + 1), 9).alias(name) for name in quantiles]
+    value = [(F.col(f"at_{name}.sign") * 2 * F.pow(F.lit(g), F.col(f"at_{name}.bucket")) / (g + 1)).alias(name) for name in quantiles]
     return at.select(*groups, "n", *value)
 
 
@@ -60,7 +61,7 @@ def measurements(sessions: DataFrame) -> DataFrame:
     cols = ("strategy", "created_at", "latency_ms", "cost_usd", "loaded_at")
     rows = sessions.select("session_id", *cols)
     own = F.coalesce("session_id", F.concat(F.lit("row "), F.xxhash64(*cols).cast("string")))
-    last = rows.groupBy(own.alias("session")).agg(F.max_by(F.struct("strategy", "created_at", "latency_ms", "cost_usd"), F.struct("loaded_at", "latency_ms", "cost_usd")).alias("s"))
+    last = rows.groupBy(own.alias("session")).agg(F.max_by(F.struct("strategy", "created_at", "latency_ms", "cost_usd"), F.struct("loaded_at", "latency_ms", "cost_usd", "strategy", "created_at")).alias("s"))
     day = F.to_date("s.created_at").cast("string")
     metric = F.explode(
         F.array(
