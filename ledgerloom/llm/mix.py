@@ -6,10 +6,11 @@ source allows; each text of a source then has the same expected number of copies
 Its whole part is taken as it is. The rest is an inclusion probability, and the
 cube method draws a sample that keeps the token and the text total of the source:
 three texts at a time, the probabilities move along the null space of both
-constraints until one of them is 0 or 1; long texts go first. Buckets of a source
-fly apart from each other, what is left of them (two texts each) flies once more
-together, and the last two texts of a source land on the choice with the least
-token error.
+constraints until one of them is 0 or 1, each as often up as down on average, so
+that every text keeps its probability. Buckets of a source fly apart from each
+other, and what is left of them (two texts each) flies on, level by level; the last
+two texts of a source land by giving up one constraint after the other. Both totals
+are off by less than the two largest texts of the source.
 
 Defined results: null and blank texts are not used; equal texts count as one text
 under the smallest doc_id, in the source of that row; sources without a target, and
@@ -19,8 +20,9 @@ to 1; the draw depends only on the ids and the seed; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import functools
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,79 +34,52 @@ from ledgerloom.session import checkpointed
 #: Texts of a source that fly in one task.
 BUCKET = 20_000
 EPS = 1e-9
-#: A text of more than so many times the median tokens is long.
-HEAVY = 4
 
 
 def _between(x: float) -> bool:
     return EPS < x < 1 - EPS
 
 
-def _walk(order: list[int], tokens: list[int], p: list[float], rng: random.Random) -> list[int]:
-    """Move three probabilities at a time along the null space of the token and the text total;
-    the at most two that stay between 0 and 1 come back."""
-    pool: list[int] = []
-    for k in order:
-        if _between(p[k]):
-            pool.append(k)
-        if len(pool) < 3:
-            continue
-        a, b, c = pool
-        u = [float(tokens[b] - tokens[c]), float(tokens[c] - tokens[a]), float(tokens[a] - tokens[b])]
-        if u == [0.0, 0.0, 0.0]:
-            u = [1.0, -1.0, 0.0]
-        up = min((1 - p[i]) / v if v > 0 else p[i] / -v for i, v in zip(pool, u, strict=True) if v)
-        down = min(p[i] / v if v > 0 else (1 - p[i]) / -v for i, v in zip(pool, u, strict=True) if v)
-        step = up if rng.random() * (up + down) < down else -down
-        for i, v in zip(pool, u, strict=True):
-            p[i] = min(1.0, max(0.0, p[i] + step * v))
-        pool = [i for i in pool if _between(p[i])]
-    return pool
+def _step(p: list[float], at: list[int], u: list[float], rng: random.Random) -> None:
+    """Move the probabilities ``at`` along ``u`` until one is 0 or 1; to which end is drawn so that none changes on average."""
+    up = min((1 - p[i]) / v if v > 0 else p[i] / -v for i, v in zip(at, u, strict=True) if v)
+    down = min(p[i] / v if v > 0 else (1 - p[i]) / -v for i, v in zip(at, u, strict=True) if v)
+    step = up if rng.random() * (up + down) < down else -down
+    for i, v in zip(at, u, strict=True):
+        p[i] = min(1.0, max(0.0, p[i] + step * v))
 
 
 def fly(tokens: list[int], probs: list[float], rng: random.Random) -> list[float]:
-    """Move probabilities to 0 or 1, keeping sum(p * tokens); at most two stay between.
+    """Move probabilities to 0 or 1, keeping sum(p) and sum(p * tokens); at most two stay between.
 
-    Long texts fly first, among themselves. One that is left moves along the null space of
-    the token total alone, against all short texts at once, so that the last two, which have
-    to land, are short. Among the short texts the text total is kept as well.
+    Three at a time, along the null space of both constraints: long texts first, so that the short ones make up for them.
     """
     p = list(probs)
-    open_ = [i for i, x in enumerate(p) if _between(x)]
-    if not open_:
-        return p
-    limit = HEAVY * sorted(tokens[i] for i in open_)[len(open_) // 2]
-    short = [i for i in open_ if tokens[i] <= limit]
-    left = _walk([i for i in open_ if tokens[i] > limit], tokens, p, rng)
-    weight = sum(tokens[i] for i in short)
-    for h in list(left):
-        free = [i for i in short if _between(p[i])]
-        if len(free) < len(short) or not short:
-            break
-        ratio = tokens[h] / weight
-        up = min(1 - p[h], min(p[i] for i in short) / ratio)
-        down = min(p[h], (1 - max(p[i] for i in short)) / ratio)
-        step = up if rng.random() * (up + down) < down else -down
-        p[h] += step
-        for i in short:
-            p[i] = min(1.0, max(0.0, p[i] - step * ratio))
-    rng.shuffle(short)
-    _walk([*(i for i in left if _between(p[i])), *short], tokens, p, rng)
+    order = [i for i, x in enumerate(p) if _between(x)]
+    rng.shuffle(order)
+    order.sort(key=lambda i: -tokens[i])
+    pool: list[int] = []
+    for k in order:
+        pool.append(k)
+        while len(pool) == 3:
+            a, b, c = pool
+            u = [float(tokens[b] - tokens[c]), float(tokens[c] - tokens[a]), float(tokens[a] - tokens[b])]
+            _step(p, pool, u if any(u) else [1.0, -1.0, 0.0], rng)
+            pool = [i for i in pool if _between(p[i])]
     return p
 
 
-def land(tokens: list[int], probs: list[float]) -> list[float]:
-    """Round the last probabilities so that the tokens, then the texts, are off by the least."""
-    open_ = [i for i, x in enumerate(probs) if EPS < x < 1 - EPS]
-    want_t, want_n = sum(probs[i] * tokens[i] for i in open_), sum(probs[i] for i in open_)
-    best = min(
-        itertools.product((0.0, 1.0), repeat=len(open_)),
-        key=lambda z: (abs(sum(x * tokens[i] for x, i in zip(z, open_, strict=True)) - want_t), abs(sum(z) - want_n), z),
-    )
-    out = [round(x) * 1.0 for x in probs]
-    for i, x in zip(open_, best, strict=True):
-        out[i] = x
-    return out
+def land(tokens: list[int], probs: list[float], rng: random.Random) -> list[float]:
+    """Draw the last probabilities, giving up one constraint after the other, in an order that is drawn as well."""
+    p = list(probs)
+    left = [i for i, x in enumerate(p) if _between(x)]
+    while len(left) >= 2:
+        a, b = left[:2]
+        _step(p, [a, b], [1.0, -1.0] if rng.random() < 0.5 else [float(tokens[b]), -float(tokens[a])], rng)
+        left = [i for i in left if _between(p[i])]
+    for i in left:
+        p[i] = 1.0 if rng.random() < p[i] else 0.0
+    return [float(round(x)) for x in p]
 
 
 def texts(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -132,31 +107,44 @@ def plan(units: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def draw(units: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, tokens, copies) of the texts used, each at least once."""
+def draw(units: DataFrame, targets: DataFrame, seed: int = 7, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, source, tokens, copies) of the texts used, each at least once.
+
+    Buckets of a source fly apart from each other; the two texts that each may leave fly on in
+    buckets of their own, level by level, until a source has one bucket, which lands.
+    """
     planned = plan(units, targets)
-    rows = units.join(F.broadcast(planned.select("source", "copies", F.ceil(F.col("n_texts") / BUCKET).alias("buckets"))), "source")
-    rows = rows.select(
-        "doc_id", "source", "tokens", F.floor("copies").cast("int").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("buckets")).alias("bucket")
-    )
+    rows = units.join(F.broadcast(planned.select("source", "copies")), "source")
+    rows = rows.select("doc_id", "source", "tokens", F.floor("copies").cast("int").alias("base"), (F.col("copies") - F.floor("copies")).alias("p"))
     schema = "doc_id long, source string, tokens long, base int, p double"
-
-    def flight(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        rng = random.Random(f"{seed}|{key}")
-        pdf["p"] = fly(pdf["tokens"].tolist(), pdf["p"].tolist(), rng)
-        return pdf[["doc_id", "source", "tokens", "base", "p"]]
-
-    def landing(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        t = pdf["tokens"].tolist()
-        pdf["p"] = land(t, fly(t, pdf["p"].tolist(), random.Random(f"{seed}|{key}|land")))
-        return pdf[["doc_id", "source", "tokens", "base", "p"]]
-
-    flown = checkpointed(rows.groupBy("source", "bucket").applyInPandas(flight, schema))
     between = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-    landed = flown.where(between).groupBy("source").applyInPandas(landing, schema)
-    return flown.where(~between).unionByName(landed).select("doc_id", "source", "tokens", (F.col("base") + F.round("p").cast("int")).alias("copies")).where("copies > 0")
+
+    def flight(level: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("doc_id")
+            rng = random.Random(f"{seed}|{level}|{key}")
+            tokens = pdf["tokens"].tolist()
+            p = fly(tokens, pdf["p"].tolist(), rng)
+            pdf["p"] = land(tokens, p, rng) if last else p
+            return pdf[["doc_id", "source", "tokens", "base", "p"]]
+
+        return run
+
+    most = planned.agg(F.max("n_texts")).collect()[0][0] or 0
+    done, level = [], 0
+    while True:
+        buckets = -(-most // bucket)
+        last = buckets <= 1
+        at = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(max(buckets, 1)))
+        flown = rows.withColumn("bucket", at).groupBy("source", "bucket").applyInPandas(flight(level, last), schema)
+        if last:
+            done.append(flown)
+            break
+        flown = checkpointed(flown)
+        done.append(flown.where(~between))
+        rows, most, level = flown.where(between), 2 * buckets, level + 1
+    whole = functools.reduce(DataFrame.unionByName, done)
+    return whole.select("doc_id", "source", "tokens", (F.col("base") + F.round("p").cast("int")).alias("copies")).where("copies > 0")
 
 
 def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, seed: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from ledgerloom.llm.bpe import TOKENIZERS
-from ledgerloom.llm.mix import fly, land, mix, shares
+from ledgerloom.llm.mix import draw, fly, land, mix, plan, shares
 
 pytestmark = pytest.mark.skipif(not os.path.exists(os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")), reason="no vocabulary files")
 DOC = "doc_id long, text string, source string, tokens long, p double"
@@ -24,17 +24,45 @@ def test_flight_keeps_the_totals():
         assert all(0 <= p <= 1 for p in out)
         assert sum(1 for p in out if 1e-9 < p < 1 - 1e-9) <= 2
         assert abs(sum(p * t for p, t in zip(out, tokens, strict=True)) - sum(p * t for p, t in zip(probs, tokens, strict=True))) < 1e-3
-        landed = land(tokens, out)
+        landed = land(tokens, out, random.Random(trial))
         assert set(landed) <= {0.0, 1.0}
+        off = abs(sum(p * t for p, t in zip(landed, tokens, strict=True)) - sum(p * t for p, t in zip(probs, tokens, strict=True)))
+        assert off < sum(sorted(tokens)[-2:]) and abs(sum(landed) - sum(probs)) < 2
 
 
-def test_draws_are_unbiased():
-    tokens, total = [5, 7, 9, 11, 400, 12], [0.0] * 6
-    for seed in range(3000):
+@pytest.mark.parametrize("p", [0.4, 0.13, 0.75])
+def test_every_text_keeps_its_probability(p):
+    tokens, draws = [5, 7, 9, 11, 400, 12], 6000
+    total = [0.0] * 6
+    for seed in range(draws):
         rng = random.Random(seed)
-        for i, p in enumerate(land(tokens, fly(tokens, [0.4] * 6, rng))):
-            total[i] += p
-    assert all(0.3 < t / 3000 < 0.5 for t in total[:4])
+        for i, x in enumerate(land(tokens, fly(tokens, [p] * 6, rng), rng)):
+            total[i] += x
+    assert all(abs(t / draws - p) <= 0.02 for t in total), total
+
+
+def test_totals_of_a_long_tail():
+    rng = random.Random(8)
+    tokens = [int(rng.lognormvariate(5, 1.2)) + 1 for _ in range(3000)]
+    top = sum(sorted(tokens)[-2:])
+    for seed in range(20):
+        draw = random.Random(seed)
+        out = land(tokens, fly(tokens, [0.4] * 3000, draw), draw)
+        assert abs(sum(out) - 1200) < 2
+        assert abs(sum(x * t for x, t in zip(out, tokens, strict=True)) - 0.4 * sum(tokens)) < top
+
+
+def test_levels_of_buckets_keep_the_totals(spark):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 5 == 0], int(rng.lognormvariate(4, 1)) + 1) for i in range(4000)]
+    units = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], TARGET)
+    got = draw(units, targets, bucket=40).collect()
+    for p in plan(units, targets).collect():
+        mine = [t for _, s, t in rows if s == p.source]
+        used = [r for r in got if r.source == p.source]
+        assert abs(sum(r.copies for r in used) - p.copies * len(mine)) < 2
+        assert abs(sum(r.copies * r.tokens for r in used) - p.copies * sum(mine)) < sum(sorted(mine)[-2:])
 
 
 def corpus():
