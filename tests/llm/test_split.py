@@ -1,11 +1,13 @@
 """Pieces of oversized sections: limits, cover, boundaries, overlap."""
 
+import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.split import cut_kinds, pieces, split_sections
+from ledgerloom.llm.split import SIZE_WEIGHT, boundaries, cut_kinds, pieces, split_sections
 
 SECTION = "section_key long, doc_type string, item string, text string, max_chars int, hard boolean"
 LIMIT = "doc_type string, max_chars int, overlap_chars int"
@@ -33,6 +35,10 @@ def longest_word(text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .\n。,\t日", min_size=61, max_size=700), st.integers(20, 60), st.integers(0, 30))
 def test_any_text(text, limit, overlap):
+    if overlap >= limit:
+        with pytest.raises(ValueError, match="overlap"):
+            pieces(text, limit, overlap)
+        return
     cut = check(text, limit, overlap)
     assert any(h for *_, h in cut) == (longest_word(text) > limit)
 
@@ -50,6 +56,41 @@ def test_overlap_is_near_the_wanted_one():
     assert all(40 <= o <= 120 for o in have)
 
 
+def test_a_long_overlap_is_kept():
+    text = "word and more. " * 900
+    have = [o for _, _, o, _ in check(text, 900, 600)][1:]
+    assert all(560 <= o <= 640 for o in have)
+
+
+def test_the_cut_is_the_cheapest_of_all():
+    """Against every choice of cuts, without overlap, on texts with few boundaries."""
+    rng = random.Random(6)
+    for _ in range(60):
+        text = "".join("w" * rng.randint(2, 9) + rng.choice((" ", ", ", ". ", "\n", "\n\n")) for _ in range(rng.randint(8, 13)))
+        limit = rng.randint(24, 40)
+        if len(text) <= limit:
+            continue
+        pos, pen = boundaries(text, limit)
+        even = len(text) / max(2, -(-len(text) // limit))
+        cost = lambda ends: sum(pen[list(pos).index(b)] + SIZE_WEIGHT * ((b - a - even) / limit) ** 2 for a, b in zip((0, *ends), ends, strict=False))
+        least = limit // 4
+        every = []
+        for k in range(1, 6):
+            for inner in itertools.combinations([int(p) for p in pos[1:-1]], k):
+                ends = (*inner, len(text))
+                if all(least <= b - a <= limit for a, b in zip((0, *ends), ends, strict=False)):
+                    every.append(cost(ends))
+        if every:
+            got = cost(tuple(e for _, e, _, _ in check(text, limit, 0)))
+            assert got <= min(every) + 1e-9
+
+
+def test_all_boundaries_are_offered():
+    text = "a bc. " * 2000
+    pos, _ = boundaries(text, 3000)
+    assert len(pos) == 4001
+
+
 def test_table(spark):
     rows = [
         (1, "a", "7", "word " * 60, 5, True),
