@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import pytest
 
-from ledgerloom.operators.units import convert
+from ledgerloom.operators.units import convert, out_of_range
 
 CASE = "id string, input string, answer string, variation_rules array<string>, notes string, unit string, power int"
 KINDS = [("money", "USD"), ("ratio", "bp"), ("mass", "ug"), ("duration", "min"), ("term", "month"), ("length", "mm"), ("volume", "ul"), ("area", "cm2"), ("temperature", "mdegC")]
@@ -61,6 +61,23 @@ CASES = [
     ("C45H57ClO3", "", None, None, set()),
     ("February 3, 2020", "", None, None, set()),
     ("Margin stood at 0.7, see Note 13", "", ["unit:PCT"], None, {("bp", 70)}),
+    ("two hundred and fifty kg", "", None, None, {("ug", 250_000_000_000)}),
+    ("one hundred kilograms", "", None, None, {("ug", 100_000_000_000)}),
+    ("one hundred twenty minutes", "", None, None, {("min", 120)}),
+    ("three million four hundred thousand and five dollars", "", None, None, {("USD", 3_400_005)}),
+    ("3.5 x 10^3 mg", "", None, None, {("ug", 3_500_000)}),
+    ("2.5×10⁻³ g", "", None, None, {("ug", 2500)}),
+    ("1e3 g", "", None, None, {("ug", 1_000_000_000)}),
+    ("5 thousand million dollars", "", None, None, {("USD", 5_000_000_000)}),
+    ("2 kg per cubic metre", "", None, None, set()),
+    ("2 m3 per metre", "", None, None, {("cm2", 20_000)}),
+    ("12 mg per tablet", "", None, None, set()),
+    ("12 mg per the label", "", None, None, {("ug", 12_000)}),
+    ("between 5 and 10 kg", "", None, None, {("ug", 5_000_000_000), ("ug", 10_000_000_000)}),
+    ("5-10 kg", "", None, None, {("ug", 5_000_000_000), ("ug", 10_000_000_000)}),
+    ("3 to 4 million dollars", "", None, None, {("USD", 3_000_000), ("USD", 4_000_000)}),
+    ("clauses and 10 kg", "", None, None, {("ug", 10_000_000_000)}),
+    ("900000000 tonnes", "", None, None, set()),
     ("", "", None, None, set()),
     (None, None, None, None, set()),
     ("9" * 400 + " kg", "", None, None, set()),
@@ -90,3 +107,10 @@ def test_empty(spark):
     kinds = spark.createDataFrame(KINDS, "quantity string, common_unit string")
     assert convert(spark.createDataFrame([], CASE), kinds).count() == 0
     assert convert(spark.createDataFrame([("1", "", "5 kg", None, None, "", 0)], CASE), kinds.limit(0)).count() == 0
+
+
+def test_amounts_beyond_a_bigint_are_reported(spark):
+    kinds = spark.createDataFrame(KINDS, "quantity string, common_unit string")
+    rows = [("a", None, "900000000 tonnes", None, None, "", 1), ("b", None, "9 tonnes", None, None, "", 1)]
+    got = out_of_range(spark.createDataFrame(rows, CASE), kinds).collect()
+    assert [(r.id, r.common_unit, int(r.amount)) for r in got] == [("a", "ug", 9 * 10**20)]
