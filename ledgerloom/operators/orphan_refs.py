@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 4).
 
 Keys of all references are encoded as integers (a dictionary of key ranges and
-positions), each key range has one bitmap per month for the references and one
-for the parents that live through that whole month, and
+positions), each block of a key range has one compressed bitmap per month (sorted
+positions where few bits are set, else bits) for the references and one for the
+parents that live through that whole month, and
 ``references AND NOT parents`` leaves the keys whose references of that month
 need a look at the exact times. Only those rows meet the parents' life spans.
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Bits of a block: the size of the buffers that bitmap_construct_agg fills (4 KiB).
-BLOCK = 32768
+#: Positions of a block, and those up to which its container lists them instead of setting bits.
+BLOCK, LISTED = 32768, 2048
+#: Hash ranges of the dictionary. Ranks inside a range are streamed in the order of the keys, so a range may grow.
+RANGES = 512
 FOREVER = 1 << 30
 
 
@@ -76,9 +79,37 @@ def dictionary(refs: DataFrame, ranges: int) -> DataFrame:
     )
 
 
+def _unpack(block: bytes) -> np.ndarray:
+    """The bits of a container."""
+    if block[0] == 1:
+        return np.unpackbits(np.frombuffer(block, np.uint8, offset=1), bitorder="little")
+    bits = np.zeros(BLOCK, np.uint8)
+    bits[np.frombuffer(block, "<u2", offset=1)] = 1
+    return bits
+
+
+def _listed(block: bytes) -> np.ndarray | None:
+    return np.frombuffer(block, "<u2", offset=1) if block[0] == 0 else None
+
+
+@F.pandas_udf(T.BinaryType())
+def container(positions: pd.Series) -> pd.Series:
+    """A compressed bitmap of a block: 0 and its sorted positions where they are few, else 1 and its bits."""
+
+    def packed(at: np.ndarray) -> bytes:
+        if len(at) <= LISTED:
+            return b"\0" + np.unique(at).astype("<u2").tobytes()
+        bits = np.zeros(BLOCK, np.uint8)
+        bits[at] = 1
+        return b"\1" + np.packbits(bits, bitorder="little").tobytes()
+
+    return positions.map(packed)
+
+
 def bitmaps(bits: DataFrame, name: str) -> DataFrame:
-    """One compact bitmap per key range and period, built with a map-side combine."""
-    return bits.groupBy("space", "range", "block", "period").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias(name))
+    """One compressed bitmap per block of a key range and period; a block bounds what is gathered."""
+    blocks = bits.groupBy("space", "range", "block", "period").agg(F.collect_list(F.col("pos").cast("int")).alias("positions"))
+    return blocks.select("space", "range", "block", "period", container("positions").alias(name))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -86,14 +117,32 @@ def and_not(refs: pd.Series, parents: pd.Series) -> pd.Series:
     """Positions of the bits of ``refs AND NOT parents``; no parents at all is the empty bitmap."""
 
     def surviving(a: bytes, b: bytes | None) -> np.ndarray:
-        left = np.frombuffer(a, np.uint8)
+        listed = _listed(a)
+        if listed is not None:
+            if b is not None:
+                other = _listed(b)
+                listed = listed[_unpack(b)[listed] == 0] if other is None else np.setdiff1d(listed, other, assume_unique=True)
+            return listed.astype(np.int32)
+        left = _unpack(a)
         if b is not None:
-            left = left & ~np.frombuffer(b, np.uint8)
-        return np.flatnonzero(np.unpackbits(left, bitorder="little")).astype(np.int32)
+            left = left & ~_unpack(b)
+        return np.flatnonzero(left).astype(np.int32)
 
     return pd.Series([surviving(a, b) for a, b in zip(refs, parents, strict=True)])
 
 
+def intervals(spans: DataFrame) -> DataFrame:
+    """(space, key, born, died): the disjoint intervals in which a key lives; ``died`` is null for one that goes on."""
+    end = F.coalesce("died", F.lit("9999-12-31").cast("timestamp_ntz"))
+    lived = spans.groupBy("space", "key", "born").agg(F.max(end).alias("end")).where(F.col("end") > F.col("born"))
+    key = Window.partitionBy("space", "key").orderBy("born")
+    before = F.max("end").over(key.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("born") > before), 1).otherwise(0)
+    island = F.sum("new").over(key.rowsBetween(Window.unboundedPreceding, 0))
+    merged = lived.withColumn("new", new).withColumn("island", island).groupBy("space", "key", "island").agg(F.min("born").alias("born"), F.max("end").alias("end"))
+    return merged.select("space", "key", "born", F.when(F.col("end") < F.lit("9999-12-31").cast("timestamp_ntz"), F.col("end")).alias("died"))
+
+
 def suspects(refs: DataFrame, spans: DataFrame, ranges: int) -> DataFrame:
     """(space, key, period) in which a referenced key does not live all through the period."""
     encoded = dictionary(refs, ranges)
@@ -108,16 +157,15 @@ def suspects(refs: DataFrame, spans: DataFrame, ranges: int) -> DataFrame:
     return survivors.join(encoded, ["space", "range", "block", "pos"]).select("space", "key", "period")
 
 
-def orphans(refs: DataFrame, spans: DataFrame, ranges: int | None = None) -> DataFrame:
+def orphans(refs: DataFrame, spans: DataFrame, ranges: int = RANGES) -> DataFrame:
     """(ref_table, ref_month, ref_key, ref_value, reason) of each reference that does not hold.
 
-    ``ranges`` is the number of hash ranges of the dictionary; it defaults to the
-    session's shuffle partitions. A hot key weighs one bit in each period, and its
-    surviving rows are spread by the skew join on their way to the exact check.
+    A hot key weighs one bit in each period, and its surviving rows are spread by the
+    skew join on their way to the exact check, where they meet disjoint intervals.
     """
-    ranges = ranges or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    doubtful = refs.join(suspects(refs, spans, ranges), ["space", "key", "period"], "left_semi")
-    lives = spans.select(F.col("space").alias("p_space"), F.col("key").alias("p_key"), "born", "died")
+    alive_in = intervals(spans)
+    doubtful = refs.join(suspects(refs, alive_in, ranges), ["space", "key", "period"], "left_semi")
+    lives = alive_in.select(F.col("space").alias("p_space"), F.col("key").alias("p_key"), "born", "died")
     alive = (
         (F.col("space") == F.col("p_space"))
         & (F.col("key") == F.col("p_key"))
@@ -138,7 +186,7 @@ def orphans(refs: DataFrame, spans: DataFrame, ranges: int | None = None) -> Dat
     )
 
 
-def find_orphans(traces: DataFrame, golden: DataFrame, trajectories: DataFrame, chunks: DataFrame, sessions: DataFrame, ranges: int | None = None) -> DataFrame:
+def find_orphans(traces: DataFrame, golden: DataFrame, trajectories: DataFrame, chunks: DataFrame, sessions: DataFrame, ranges: int = RANGES) -> DataFrame:
     """The orphan references of the three referring tables of this project."""
     t = traces.select("trace_id", "created_at", F.explode("citations").alias("citation"))
     g = golden.select("id", "created_at", F.explode("expected.citations").alias("citation"))

@@ -90,3 +90,17 @@ def test_dictionary_goes_on_in_the_next_block(spark):
     d = dictionary(references(df, "traces", F.col("id"), F.col("v"), F.col("t"), "chunk"), 1)
     assert d.select("range", "block", "pos").distinct().count() == BLOCK + 50
     assert d.agg(F.max("block")).first()[0] == 1
+
+
+def test_containers_of_both_kinds(spark):
+    import pandas as pd
+
+    from ledgerloom.operators.orphan_refs import LISTED, and_not, container
+
+    rng = random.Random(9)
+    for na, nb in ((5, 9), (5, 20_000), (20_000, 7), (20_000, 21_000), (LISTED, LISTED + 1)):
+        a, b = rng.sample(range(BLOCK), na), rng.sample(range(BLOCK), nb)
+        packed = container.func(pd.Series([pd.array(a).to_numpy(), pd.array(b).to_numpy()]))
+        assert len(packed[0]) == (1 + 2 * na if na <= LISTED else 1 + BLOCK // 8)
+        both = and_not.func(pd.Series([packed[0], packed[0]]), pd.Series([packed[1], None]))
+        assert list(both[0]) == sorted(set(a) - set(b)) and list(both[1]) == sorted(a)
