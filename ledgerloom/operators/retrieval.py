@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import tokenize
+from ledgerloom.session import checkpointed
 
 # Fixed values. Parameters of the ranking functions.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,12 +23,8 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    """(query_key, key, score): the sum over the query's terms, repeated ones counted again.
-
-    The postings are joined with the terms of the queries, never with the queries' rows
-    times the documents, and one shuffle adds the parts of a pair up.
-    """
+def weighted_postings(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term, part): what each of the terms adds to the score of a document, written once."""
     posts = postings(docs, key, text)
     lengths = posts.groupBy(key).agg(F.sum("tf").alias("dl"))
     corpus = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total")))
@@ -33,11 +32,39 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(one))
     raw = df.select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     idf = raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("mean")))).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select(query_key, F.explode(tokenize(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    weighted = posts.join(asked.select("term").distinct(), "term", "left_semi").join(lengths, key).crossJoin(F.broadcast(one)).join(idf, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = weighted.select(key, "term", part.alias("part"))
-    return parts.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+    return posts.join(terms, "term", "left_semi").join(lengths, key).crossJoin(F.broadcast(one)).join(idf, "term").select(key, "term", part.alias("part"))
+
+
+def bm25_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, within: str | None = None) -> DataFrame:
+    """(query_key, key, score, rank): the k best documents of each query, exactly, without scoring all that share a word.
+
+    The rarest terms of a query, enough to bring k documents, give candidates; the k-th best full score of these is a
+    floor. Terms whose greatest parts together stay below the floor can't lift a document over it alone, so only the
+    documents of the other terms are scored. Equal queries are scored once. ``within`` names a column of both sides
+    that has to be equal, for searches inside a part of the documents; the statistics are those of all.
+    """
+    scope = [within] if within else []
+    texts = queries.select(query_key, *scope, F.col(query_text).alias("q_text")).withColumn("q", F.xxhash64("q_text", *scope))
+    asked = texts.groupBy("q", *scope).agg(F.first("q_text").alias("q_text")).select("q", *scope, F.explode(tokenize(F.col("q_text"))).alias("term"))
+    asked = checkpointed(asked.groupBy("q", *scope, "term").agg(F.count("*").alias("qtf")))
+    parts = weighted_postings(docs, key, text, asked.select("term").distinct())
+    parts = checkpointed(parts.join(docs.select(key, *scope), key) if within else parts)
+    on = ["term", *scope]
+    terms = asked.join(parts.groupBy(*on).agg(F.max("part").alias("most"), F.count("*").alias("df")), on)
+    by_df, by_part = Window.partitionBy("q").orderBy("df", "term"), Window.partitionBy("q").orderBy(F.col("most") * F.col("qtf"), "term")
+    before = F.coalesce(F.sum("df").over(by_df.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    terms = checkpointed(terms.withColumn("before", before).withColumn("upto", F.sum(F.col("most") * F.col("qtf")).over(by_part.rowsBetween(Window.unboundedPreceding, 0))))
+
+    def full(candidates: DataFrame) -> DataFrame:
+        rows = candidates.join(asked.select("q", "term", "qtf"), "q").join(parts.select(key, "term", "part"), [key, "term"])
+        return rows.groupBy("q", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
+
+    first = full(terms.where(F.col("before") < 2 * k).join(parts, on).select("q", key).distinct())
+    floor = top_k(first, "q", key, k).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+    needed = terms.join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("upto") >= F.col("floor") - 1e-5))
+    best = top_k(full(needed.join(parts, on).select("q", key).distinct()), "q", key, k)
+    return texts.select(query_key, "q").distinct().join(best, "q").drop("q")
 
 
 def top_k(scored: DataFrame, query_key: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -73,6 +100,37 @@ def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
     return top_k(best.withColumn("score", F.round("score", 6)), query_key, key, k)
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], part: Column, name: str = "rank") -> DataFrame:
+    """``rows`` with their place in a group, counted part by part so that no task sorts a whole group.
+
+    ``part`` is a whole number that does not fall along the order. Rows are numbered within (group, part), and the
+    parts before it, of which a group has few, add their counts.
+    """
+    t = rows.withColumn("_part", part)
+    counts = t.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(group, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return t.withColumn("_place", place).join(before, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def inner_products(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, per_block: int = 256) -> DataFrame:
+    """(query_key, key, score) of every query with every vector: blocks of queries pass over the vectors, which stay where they are."""
+    block = F.pmod(F.xxhash64(query_key), F.lit(1 << 30))
+    n = max(1, -(-queries.count() // per_block))
+    kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    blocks = queries.groupBy((block % n).alias("b")).agg(F.collect_list(query_key).alias("qs"), F.collect_list(F.col(query_vector).cast("array<double>")).alias("qv"))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for qs, some in pdf.groupby(pdf["b"]):
+                m, v = np.stack(some["v"].to_numpy()), np.stack(some["qv"].iloc[0])
+                names = np.asarray(some["qs"].iloc[0])
+                yield pd.DataFrame({query_key: np.tile(names, len(some)), key: np.repeat(some["k"].to_numpy(), len(names)), "score": (m @ v.T).ravel()})
+
+    every = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(blocks), F.lit(True))
+    return every.mapInPandas(score, f"{query_key} {qkind}, {key} {kind}, score double").withColumn("score", F.round("score", 6))
+
+
 def fuse(*ranked: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query_key, key, rrf): reciprocal rank fusion of ranked lists with a 1-based column rank."""
     every = None

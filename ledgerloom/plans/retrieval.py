@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.text import tokenize
 from ledgerloom.operators import retrieval as rt
 from ledgerloom.operators.evaluate import prefixes
+from ledgerloom.session import checkpointed
 from ledgerloom.tables import table
 
 TOP = 10
@@ -25,8 +26,8 @@ def _questions(spark, sf_dir):
     return r.groupBy("response_id").agg(F.min("input").alias("input"))
 
 
-def _lexical(spark, sf_dir):
-    return rt.bm25(_chunks(spark, sf_dir), "id", "text", _questions(spark, sf_dir), "response_id", "input")
+def _lexical(spark, sf_dir, k):
+    return rt.bm25_top_k(_chunks(spark, sf_dir), "id", "text", _questions(spark, sf_dir), "response_id", "input", k)
 
 
 def _vectors(spark, sf_dir):
@@ -44,7 +45,7 @@ def term_stats(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return rt.top_k(_lexical(spark, sf_dir), "response_id", "id", TOP).select("response_id", "id", "score", "rank")
+    return _lexical(spark, sf_dir, TOP).select("response_id", "id", "score", "rank")
 
 
 def dense_topk(spark, sf_dir):
@@ -54,26 +55,42 @@ def dense_topk(spark, sf_dir):
 
 
 def filtered_search(spark, sf_dir):
-    """Lexical search among the chunks of the years that the question names; without such chunks nothing is found."""
+    """Lexical search among the chunks of the years that the question names, each year by itself, then the ten best of
+    all its years; a question without a hit there is searched again in all chunks."""
     from ledgerloom.functions.text import years
 
-    c = _chunks(spark, sf_dir).select("id", F.col("fiscal_year").cast("string").alias("fy"))
-    q = _questions(spark, sf_dir).select("response_id", F.explode(F.transform(F.array_distinct(years(F.col("input"))), lambda y: y.cast("string"))).alias("fy"))
-    hits = _lexical(spark, sf_dir).join(c, "id").join(q, ["response_id", "fy"], "left_semi")
-    return rt.top_k(hits, "response_id", "id", TOP).select("response_id", "id", "fy", "score", "rank")
+    c = _chunks(spark, sf_dir).select("id", "text", F.col("fiscal_year").cast("string").alias("fy"))
+    every = _questions(spark, sf_dir)
+    q = every.select("response_id", "input", F.explode(F.transform(F.array_distinct(years(F.col("input"))), lambda y: y.cast("string"))).alias("fy"))
+    # A question of several years is one query in each of them.
+    one = q.withColumn("one", F.concat_ws("|", F.col("response_id").cast("string"), "fy"))
+    hits = rt.bm25_top_k(c, "id", "text", one, "one", "input", TOP, within="fy")
+    hits = hits.select(F.split("one", r"\|")[0].cast("bigint").alias("response_id"), F.split("one", r"\|")[1].alias("fy"), "id", "score")
+    found = checkpointed(rt.top_k(hits, "response_id", "id", TOP).select("response_id", "id", "fy", "score", "rank"))
+    again = rt.bm25_top_k(c, "id", "text", every.join(found.select("response_id").distinct(), "response_id", "left_anti"), "response_id", "input", TOP)
+    return found.unionByName(again.select("response_id", "id", F.lit(None).cast("string").alias("fy"), "score", "rank"))
 
 
 def hybrid_rrf(spark, sf_dir):
-    """Fusion of the lexical order with the order by the words of the title, item and company."""
-    head = _chunks(spark, sf_dir).select("id", F.concat_ws(" ", "company", "ticker", F.col("fiscal_year").cast("string"), "item", "title").alias("head"))
-    a = rt.top_k(_lexical(spark, sf_dir), "response_id", "id", 100)
-    b = rt.top_k(rt.bm25(head, "id", "head", _questions(spark, sf_dir), "response_id", "input"), "response_id", "id", 100)
-    return rt.top_k(rt.fuse(a, b, query_key="response_id", key="id"), "response_id", "id", TOP, "rrf").select("response_id", "id", "rrf", "rank")
+    """Fusion of the whole dense order with the whole lexical order of the documents that have a vector; documents without a
+    word of the query come last, in the order of their ids."""
+    v = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text").where("text is not null").join(v, "vec_id")
+    q = d.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("text").alias("query_text"), F.col("embedding").alias("query"))
+    dense = checkpointed(rt.inner_products(d, "vec_id", "embedding", q, "query_id", "query"))
+    words = rt.weighted_postings(d, "vec_id", "text", q.select(F.explode(tokenize(F.col("query_text"))).alias("term")).distinct())
+    asked = q.select("query_id", F.explode(tokenize(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    sparse = words.join(asked, "term").groupBy("query_id", "vec_id").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("sparse"))
+    both = dense.join(sparse, ["query_id", "vec_id"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(0.0)))
+    a = rt.numbered(both, "query_id", [F.desc("score"), F.asc("vec_id")], -F.floor(F.col("score") * 32), "dense_rank")
+    b = rt.numbered(a, "query_id", [F.desc("sparse"), F.asc("vec_id")], -F.floor(F.log1p(F.greatest("sparse", F.lit(0.0))) * 8), "sparse_rank")
+    fused = b.select("query_id", "vec_id", F.round(1.0 / (rt.RRF + F.col("dense_rank")) + 1.0 / (rt.RRF + F.col("sparse_rank")), 8).alias("rrf"))
+    return rt.top_k(fused, "query_id", "vec_id", TOP, "rrf").select("query_id", "vec_id", "rrf", "rank")
 
 
 def rerank_candidates(spark, sf_dir):
     """The 25 best lexical candidates, ordered again by the share of the question's words in them."""
-    pool = rt.top_k(_lexical(spark, sf_dir), "response_id", "id", POOL).select("response_id", "id", "score")
+    pool = _lexical(spark, sf_dir, POOL).select("response_id", "id", "score")
     words = F.array_distinct(tokenize(F.col("input")))
     q = _questions(spark, sf_dir).select("response_id", words.alias("q"))
     c = _chunks(spark, sf_dir).select("id", F.array_distinct(tokenize(F.col("text"))).alias("t"))
@@ -83,9 +100,9 @@ def rerank_candidates(spark, sf_dir):
 
 
 def multi_query_merge(spark, sf_dir):
-    """Hits of all questions of a session: the best score of each chunk, then the ten best chunks."""
+    """Hits of the asked questions of a session: the best score of each chunk, then the ten best chunks."""
     s = table(spark, sf_dir, "synthesis_responses").groupBy("response_id").agg(F.min("session_id").alias("session_id")).where("session_id is not null")
-    hits = rt.top_k(_lexical(spark, sf_dir), "response_id", "id", TOP).join(s, "response_id")
+    hits = _lexical(spark, sf_dir, TOP).join(s, "response_id")
     best = hits.groupBy("session_id", "id").agg(F.max("score").alias("score"))
     return rt.top_k(best, "session_id", "id", TOP).select("session_id", "id", "score", "rank")
 
@@ -101,7 +118,7 @@ def confidence_gate(spark, sf_dir):
 def hit_at_k_mrr(spark, sf_dir):
     """How early a chunk that the answer cites comes among the lexical hits."""
     cited = table(spark, sf_dir, "synthesis_responses").where("response_id % 20 = 0").select("response_id", F.explode("citations").alias("c")).where("c is not null").distinct()
-    hits = rt.top_k(_lexical(spark, sf_dir), "response_id", "id", 100).select("response_id", "rank", F.explode(prefixes(F.col("id"))).alias("c"))
+    hits = _lexical(spark, sf_dir, 100).select("response_id", "rank", F.explode(prefixes(F.col("id"))).alias("c"))
     first = cited.select("response_id").distinct().join(cited.join(hits, ["response_id", "c"]).groupBy("response_id").agg(F.min("rank").alias("rank")), "response_id", "left")
     at = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))), 6)
     return first.agg(F.count("*").alias("n"), at(1).alias("hit_1"), at(5).alias("hit_5"), at(10).alias("hit_10"), at(100).alias("hit_100"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
@@ -164,12 +181,16 @@ SQL = {
 y AS (SELECT response_id, CAST(unnest(ys) AS VARCHAR) AS fy FROM y0),
 f AS (SELECT l.*, CAST(c.fiscal_year AS VARCHAR) AS fy FROM lex l JOIN chunk1 c USING (id) WHERE EXISTS (SELECT 1 FROM y WHERE y.response_id = l.response_id AND y.fy = CAST(c.fiscal_year AS VARCHAR)))
 """
-    + f"SELECT response_id, id, fy, score, rank FROM {_top('f', 'response_id', TOP)}",
-    "hybrid_rrf": _LEX
-    + _bm25_sql("head", "SELECT id, concat_ws(' ', company, ticker, CAST(fiscal_year AS VARCHAR), item, title) AS body FROM chunk1")
-    + f""", every AS (SELECT response_id, id, rank FROM {_top('lex', 'response_id', 100)} UNION ALL SELECT response_id, id, rank FROM {_top('head', 'response_id', 100)}),
-fused AS (SELECT response_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM every GROUP BY ALL)
-SELECT response_id, id, rrf, rank FROM {_top('fused', 'response_id', TOP, 'rrf')}""",
+    + f"""SELECT response_id, id, fy, score, rank FROM {_top('f', 'response_id', TOP)}
+UNION ALL SELECT response_id, id, NULL, score, rank FROM {_top('(SELECT * FROM lex WHERE response_id NOT IN (SELECT response_id FROM f))', 'response_id', TOP)}""",
+    "hybrid_rrf": _DENSE.split(",\nr AS")[0]
+    + """, chunk1 AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT vec_id FROM embeddings)),
+asked AS (SELECT response_id, term, count(*) AS qtf FROM (SELECT id AS response_id, unnest(regexp_extract_all(replace(lower(text), ',', ''), '[a-z0-9]+')) AS term FROM chunk1 WHERE id % 20 = 0) GROUP BY ALL)"""
+    + _bm25_sql("lex", "SELECT id, text AS body FROM chunk1")
+    + f""", b AS (SELECT s.query_id, s.vec_id, s.score AS dense, coalesce(l.score, 0) AS sparse FROM s JOIN chunk1 c ON c.id = s.vec_id JOIN chunk1 q ON q.id = s.query_id LEFT JOIN lex l ON l.response_id = s.query_id AND l.id = s.vec_id),
+k AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, vec_id) AS d, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, vec_id) AS p FROM b),
+fused AS (SELECT query_id, vec_id, round(1.0::DOUBLE / (60 + d) + 1.0::DOUBLE / (60 + p), 8) AS rrf FROM k)
+SELECT query_id, vec_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, vec_id) AS rank FROM fused QUALIFY rank <= {TOP}""",
     "rerank_candidates": _LEX
     + f""", pool AS (SELECT response_id, id, score FROM {_top('lex', 'response_id', POOL)}),
 w AS (SELECT response_id, list_distinct(regexp_extract_all(replace(lower(input), ',', ''), '[a-z0-9]+')) AS ws FROM q),
