@@ -41,7 +41,7 @@ def bm25_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, query_k
 
     The rarest terms of a query, enough to bring k documents, give candidates; the k-th best full score of these is a
     floor. Terms whose greatest parts together stay below the floor can't lift a document over it alone, so only the
-    documents of the other terms are scored. Equal queries are scored once. ``within`` names a column of both sides
+    documents of the other terms are looked at, and those that reach the floor with all that is left are scored. Equal queries are scored once. ``within`` names a column of both sides
     that has to be equal, for searches inside a part of the documents; the statistics are those of all.
     """
     scope = [within] if within else []
@@ -62,8 +62,18 @@ def bm25_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, query_k
 
     first = full(terms.where(F.col("before") < 2 * k).join(parts, on).select("q", key).distinct())
     floor = top_k(first, "q", key, k).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
-    needed = terms.join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("upto") >= F.col("floor") - 1e-5))
-    best = top_k(full(needed.join(parts, on).select("q", key).distinct()), "q", key, k)
+    split = terms.join(floor, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))) - 1e-5).withColumn("low", F.col("upto") < F.col("floor"))
+    rest = F.coalesce(F.max(F.when(F.col("low"), F.col("upto"))).over(Window.partitionBy("q")), F.lit(0.0))
+    needed = split.withColumn("rest", rest).where("not low").select("q", *on, "qtf", "floor", "rest")
+    # What the other terms can add at most decides which documents of the needed terms are scored in full.
+    able = needed.join(parts, on).groupBy("q", key).agg(F.sum(F.col("part") * F.col("qtf")).alias("some"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    able = checkpointed(able.where(F.col("some") + F.col("rest") >= F.col("floor")))
+    higher = top_k(able, "q", key, k, "some").where(F.col("rank") == k).select("q", (F.col("some") - 1e-5).alias("higher"))
+    likely = able.join(higher, "q", "left").where(F.col("higher").isNull() | (F.col("some") + F.col("rest") >= F.col("higher")))
+    low = split.where("low").select("q", *on, "qtf")
+    more = likely.select("q", key).join(low, "q").join(parts.select(key, "term", "part"), [key, "term"]).select("q", key, (F.col("part") * F.col("qtf")).alias("some"))
+    score = likely.select("q", key, "some").unionByName(more).groupBy("q", key).agg(F.round(F.sum("some"), 6).alias("score"))
+    best = top_k(score, "q", key, k)
     return texts.select(query_key, "q").distinct().join(best, "q").drop("q")
 
 
