@@ -18,7 +18,7 @@ CLINICAL = r"(?i)p\s*[<>=]\s*[\d\.]+|\b\d+(?:\.\d+)?\s*(?:mg(?:/kg)?|mcg|g|ml|%)
 REFUSAL_MARKERS = (
     "do not contain", "does not contain", "do not include", "does not include", "not provided in", "not present in", "not directly stated", "no context chunks",
     "none of the provided", "cannot find", "could not find", "cannot answer", "unable to answer", "cannot determine", "unable to determine", "not stated in",
-    "not mentioned in", "not disclosed in", "does not provide", "do not provide", "is not available", "not available in", "do not cover",
+    "not mentioned in", "not disclosed in", "does not provide", "do not provide", "is not available", "not available in",
 )
 SCALES = (("thousand", 1e3), ("million", 1e6), ("billion", 1e9), ("trillion", 1e12))
 UNIT_RATIOS = (1.0, 1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9)

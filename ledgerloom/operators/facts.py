@@ -70,7 +70,7 @@ def extract_facts(chunks: DataFrame) -> DataFrame:
     rows = chunks.where("ticker is not null and text like '%|%'").select("id", "ticker", "item", "text").distinct()
     t = annotated(lines(rows, "id", "ticker", "item"), "id", "ticker", "item").where("years is not null")
     cells = F.split("line", r"\|")
-    values = F.filter(F.transform(F.slice(cells, 2, 100), cell_value), lambda v: v.isNotNull())
+    values = F.filter(F.transform(F.slice(cells, F.lit(2), F.size(cells)), cell_value), lambda v: v.isNotNull())
     t = t.where(header_years(F.col("line")).isNull()).select("*", metric_of(F.get(cells, F.lit(0))).alias("metric"), values.alias("values")).where("metric is not null and size(values) > 0")
     pairs = F.posexplode(F.arrays_zip(F.slice("years", F.lit(1), F.least(F.size("years"), F.size("values"))).alias("y"), F.slice("values", F.lit(1), F.least(F.size("years"), F.size("values"))).alias("v")))
     t = t.select("ticker", "metric", "unit", "id", "item", "line_no", pairs)

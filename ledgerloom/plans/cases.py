@@ -14,7 +14,8 @@ from ledgerloom.plans.facts import _FACTS, _RATIO, _facts
 from ledgerloom.plans.graph import _EDGES
 from ledgerloom.tables import table
 
-NAME = r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"
+#: Words of the longest alias that is looked for.
+ALIAS_WORDS = 4
 
 
 def golden_cases(spark, sf_dir):
@@ -37,11 +38,26 @@ def first_match_per_category(spark, sf_dir):
     return c.groupBy("clause").agg(F.min(F.struct("doc_id", "id")).alias("f"), F.countDistinct("doc_id").alias("n_contracts")).select("clause", "f.doc_id", "f.id", "n_contracts")
 
 
+def _aliases(spark, sf_dir):
+    """(alias, ticker): the names, first words and tickers of companies that stand for one of them."""
+    c = table(spark, sf_dir, "chunks").where("company is not null and ticker is not null").select("company", "ticker").distinct()
+    name = F.trim(F.regexp_replace(F.lower("company"), "[^a-z0-9]+", " "))
+    first = F.get(F.split(name, " "), F.lit(0))
+    each = F.explode(F.array_distinct(F.array_compact(F.array(name, F.lower("ticker"), F.when((F.length(first) >= 4) & ~first.isin("home", "bank"), first)))))
+    return c.select("ticker", each.alias("alias")).groupBy("alias").agg(F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("n")).where("n = 1").select("alias", "ticker")
+
+
 def company_scope(spark, sf_dir):
-    """Companies of the corpus that a question names: names are read from the text and joined, not searched one by one."""
-    known = table(spark, sf_dir, "chunks").where("company is not null and ticker is not null").groupBy("company").agg(F.min("ticker").alias("ticker"))
-    q = table(spark, sf_dir, "synthesis_responses").select("response_id", F.explode(F.array_distinct(F.regexp_extract_all("input", F.lit(NAME), F.lit(1)))).alias("company")).distinct()
-    return q.join(known, "company").groupBy("ticker").agg(F.countDistinct("response_id").alias("n_questions"))
+    """Companies that a question names: runs of its words are joined with the aliases, and the longest of those that overlap counts."""
+    q = table(spark, sf_dir, "synthesis_responses").select("response_id", F.split(F.trim(F.regexp_replace(F.lower("input"), "[^a-z0-9]+", " ")), " ").alias("w")).where("w is not null").distinct()
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ALIAS_WORDS)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("alias")))))
+    runs = q.select("response_id", F.size("w").alias("words"), F.explode(runs).alias("r")).select("response_id", "words", "r.*").where("at + n - 1 <= words")
+    hits = runs.join(_aliases(spark, sf_dir), "alias").select("response_id", "at", "n", "ticker")
+    # A run that lies inside a longer one of the same question is used up by it.
+    later = Window.partitionBy("response_id").orderBy(F.desc("n"), "at").rowsBetween(Window.unboundedPreceding, -1)
+    taken = hits.withColumn("before", F.collect_list(F.struct("at", "n")).over(later))
+    free = ~F.exists("before", lambda b: (b["at"] < F.col("at") + F.col("n")) & (F.col("at") < b["at"] + b["n"]) & (b["n"] > F.col("n")))
+    return taken.where(free).groupBy("ticker").agg(F.countDistinct("response_id").alias("n_questions"))
 
 
 def community_search(spark, sf_dir):
@@ -58,9 +74,13 @@ def audit_verdict(spark, sf_dir):
     g = table(spark, sf_dir, "golden_set_v1").select("id", F.col("expected.answer").alias("a"), F.col("expected.citations").alias("c")).distinct().where("a is not null")
     raws = F.array_distinct(F.transform(tx.claims(F.col("a")), lambda x: F.regexp_replace(x["raw"], r"^\$\s?|\s?%$| (?:million|billion|thousand|trillion)$", "")))
     want = g.select("id", F.explode_outer(raws).alias("figure"))
-    chunk = table(spark, sf_dir, "chunks").select(F.explode(prefixes(F.col("id"))).alias("cite"), "text").distinct()
-    texts = g.select("id", F.explode(F.array_distinct("c")).alias("cite")).join(chunk, "cite")
-    hit = want.where("figure is not null").join(texts, "id").where(F.contains(F.col("text"), F.col("figure"))).select("id", "figure").distinct().withColumn("hit", F.lit(1))
+    # Only keys of chunks travel below the cited prefixes; a text meets the cases once they are known.
+    chunk = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk"), F.xxhash64("text").alias("body"), "text")
+    cited = g.select("id", F.explode(F.array_distinct("c")).alias("cite"))
+    keys = chunk.select("chunk", "body", F.explode(prefixes(F.col("chunk"))).alias("cite")).distinct()
+    near = cited.join(keys, "cite").select("id", "body").distinct()
+    texts = chunk.groupBy("body").agg(F.first("text").alias("text"))
+    hit = want.where("figure is not null").join(near, "id").join(texts, "body").where(F.contains(F.col("text"), F.col("figure"))).select("id", "figure").distinct().withColumn("hit", F.lit(1))
     per = want.join(hit, ["id", "figure"], "left").groupBy("id").agg(F.count("figure").alias("n"), F.count("hit").alias("n_hit"))
     verdict = F.when(F.col("n") == 0, "no figures").when(F.col("n_hit") == F.col("n"), "all found").when(F.col("n_hit") > 0, "some found").otherwise("none found")
     return per.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n_cases"))
@@ -91,7 +111,15 @@ SQL = {
 SELECT 'What was the annual growth of ' || metric || ' of ' || ticker || ' from ' || y0 || ' to ' || y1 || '?' AS input, CAST(CAST(round((pow(v1 / v0, 1.0::DOUBLE / (y1 - y0)) - 1) * 100, 4) AS DECIMAL(20,4)) AS VARCHAR) || '%' AS answer FROM g WHERE v0 > 0 AND v1 > 0 AND y1 > y0
 UNION ALL SELECT 'What share of revenue was ' || metric || ' of ' || ticker || ' in ' || fiscal_year || '?', CAST(CAST(ratio AS DECIMAL(20,4)) AS VARCHAR) || '%' FROM margins""",
     "first_match_per_category": "WITH c AS (SELECT doc_id, id, regexp_extract(text, 'The clause on ([a-z-]+(?: [a-z-]+)*) survives', 1) AS clause FROM chunks WHERE doc_type = 'contract') SELECT clause, min(struct_pack(doc_id := doc_id, id := id)).doc_id AS doc_id, min(struct_pack(doc_id := doc_id, id := id)).id AS id, count(DISTINCT doc_id) AS n_contracts FROM c WHERE clause <> '' GROUP BY clause",
-    "company_scope": rf"WITH k AS (SELECT company, min(ticker) AS ticker FROM chunks WHERE company IS NOT NULL AND ticker IS NOT NULL GROUP BY company), q AS (SELECT DISTINCT response_id, unnest(list_distinct(regexp_extract_all(input, '{NAME}', 1))) AS company FROM synthesis_responses) SELECT ticker, count(DISTINCT response_id) AS n_questions FROM q JOIN k USING (company) GROUP BY ticker",
+    "company_scope": f"""
+WITH c AS (SELECT DISTINCT ticker, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS name FROM chunks WHERE company IS NOT NULL AND ticker IS NOT NULL),
+a0 AS (SELECT ticker, name AS alias FROM c UNION SELECT ticker, lower(ticker) FROM c UNION SELECT ticker, string_split(name, ' ')[1] FROM c WHERE length(string_split(name, ' ')[1]) >= 4 AND string_split(name, ' ')[1] NOT IN ('home', 'bank')),
+a AS (SELECT alias, min(ticker) AS ticker FROM a0 GROUP BY alias HAVING count(DISTINCT ticker) = 1),
+q AS (SELECT DISTINCT response_id, string_split(trim(regexp_replace(lower(input), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM synthesis_responses WHERE input IS NOT NULL),
+i AS (SELECT response_id, w, unnest(range(1, len(w) + 1)) AS pos FROM q),
+r AS (SELECT response_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS alias FROM i, range(1, {ALIAS_WORDS + 1}) t(n) WHERE pos + n - 1 <= len(w)),
+h AS (SELECT response_id, pos, n, ticker FROM r JOIN a USING (alias))
+SELECT ticker, count(DISTINCT response_id) AS n_questions FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.response_id = x.response_id AND y.n > x.n AND y.pos < x.pos + x.n AND x.pos < y.pos + y.n) GROUP BY ticker""",
     "community_search": f"WITH p AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format(x='''concat_ws(' ', company, ticker, CAST(fiscal_year AS VARCHAR), title)''')}) AS w FROM chunks WHERE ticker IS NOT NULL), q AS (SELECT DISTINCT id, unnest({_TOKENS.format(x='input')}) AS w FROM golden_set_v1), s AS (SELECT id, doc_id, count(*) AS shared FROM q JOIN p USING (w) GROUP BY ALL) SELECT id, doc_id, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, doc_id) AS place FROM s QUALIFY place <= 2",
     "audit_verdict": f"""
 WITH g AS (SELECT DISTINCT id, expected.answer AS a, expected.citations AS c FROM golden_set_v1 WHERE expected.answer IS NOT NULL),

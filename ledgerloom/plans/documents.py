@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions import derive as dv
 from ledgerloom.functions import text as tx
+from ledgerloom.functions.once import once
 from ledgerloom.operators import ingest as ig
 from ledgerloom.operators.evaluate import prefixes
 from ledgerloom.operators.facts import lines
@@ -89,17 +91,21 @@ def find_years(spark, sf_dir):
 
 
 def claim_verify(spark, sf_dir):
-    """Which answers claim only figures of the chunks that they cite or of the question."""
+    """Which answers claim only figures of the chunks that they cite, of the question, or derived from two of these; an
+    answer without claims is verified."""
     r = table(spark, sf_dir, "synthesis_responses").select("response_id", "input", "answer", "citations").distinct().where("answer is not null")
-    c = table(spark, sf_dir, "chunks").select(F.explode(prefixes(F.col("id"))).alias("cited"), F.col("id").alias("chunk_id"), "text").distinct()
-    want = r.select("response_id", F.explode(F.array_distinct("citations")).alias("cited")).join(c, "cited").select("response_id", "chunk_id", F.explode(tx.numbers(F.col("text"))).alias("n"))
-    known = want.select("response_id", "n").distinct().where("n is not null")
-    asked = r.select("response_id", F.explode(tx.numbers(F.col("input"))).alias("n")).where("n is not null").distinct()
-    claims = r.select("response_id", F.posexplode(tx.claims(F.col("answer"))).alias("no", "c"))
-    numbers = known.unionByName(asked).distinct().groupBy("response_id").agg(F.collect_list("n").alias("known"))
-    checked = claims.join(numbers, "response_id", "left").select("response_id", "no", tx.supported(F.col("c"), F.coalesce("known", F.array().cast("array<double>"))).alias("found"))
-    g = checked.groupBy("response_id").agg(F.count("*").alias("n_claims"), F.count_if("found").alias("n_found"))
-    return g.select("response_id", "n_claims", "n_found", (F.col("n_claims") == F.col("n_found")).alias("verified"))
+    c = table(spark, sf_dir, "chunks").select("id", F.explode(F.array_distinct(tx.numbers(F.col("text")))).alias("n")).where("n is not null").distinct()
+    keys = table(spark, sf_dir, "chunks").select("id", F.explode(prefixes(F.col("id"))).alias("cited")).distinct()
+    cited = r.select("response_id", F.explode(F.array_distinct("citations")).alias("cited")).join(keys, "cited").select("response_id", "id").distinct()
+    known = cited.join(c, "id").select("response_id", "n")
+    asked = r.select("response_id", F.explode(tx.numbers(F.col("input"))).alias("n")).where("n is not null")
+    numbers = known.unionByName(asked).groupBy("response_id").agg(F.array_sort(F.collect_set("n")).alias("known"))
+    rows = r.select("response_id", tx.claims(F.col("answer")).alias("c")).join(numbers, "response_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<double>")))
+    found = rows.select("response_id", "known", F.transform("c", lambda x: F.struct(x["value"].alias("value"), x["is_pct"].alias("is_pct"), tx.supported(x, F.col("known")).alias("found"))).alias("c"))
+    found = once(found, "response_id", "known", n=F.size("c"), n_found=F.size(F.filter("c", lambda x: x["found"])), left=F.transform(F.filter("c", lambda x: ~x["found"]), lambda x: F.struct(x["value"].alias("value"), x["is_pct"].alias("is_pct"))))
+    derived = found.select("response_id", "n", "n_found", F.when(F.size("left") > 0, dv.derived("left", "known")).otherwise(F.lit(0)).alias("n_derived"))
+    every = F.col("n_found") + F.col("n_derived")
+    return derived.select("response_id", F.col("n").alias("n_claims"), every.alias("n_found"), (F.col("n") == every).alias("verified"))
 
 
 def legal_claims(spark, sf_dir):
@@ -243,14 +249,22 @@ SELECT doc_id, n_sections, largest, largest_chars, n_resolved, CASE WHEN NOT coa
     "find_years": r"SELECT response_id, array_to_string(list_concat(list_transform(regexp_extract_all(input, '\b(?:19[6-9]\d|20[0-4]\d)\b'), lambda y: CAST(y AS INT)), list_transform(regexp_extract_all(input, '(?i)\bFY\s?''?(\d\d)\b', 1), lambda y: CAST(y AS INT) + CASE WHEN CAST(y AS INT) < 70 THEN 2000 ELSE 1900 END)), ',') AS years FROM (SELECT DISTINCT response_id, input FROM synthesis_responses) WHERE years <> ''",
     "claim_verify": f"""
 WITH r AS (SELECT DISTINCT response_id, input, answer, citations FROM synthesis_responses WHERE answer IS NOT NULL),
-c AS (SELECT DISTINCT unnest({sql_prefixes("id")}) AS cited, id, text FROM chunks),
-want AS (SELECT DISTINCT response_id, unnest({_FIGURE.format(x="text")}) AS n FROM (SELECT response_id, unnest(list_distinct(citations)) AS cited FROM r) JOIN c USING (cited)),
+k AS (SELECT DISTINCT id, unnest({sql_prefixes("id")}) AS cited FROM chunks),
+c AS (SELECT DISTINCT id, unnest({_FIGURE.format(x="text")}) AS n FROM chunks),
+w AS (SELECT DISTINCT response_id, id FROM (SELECT response_id, unnest(list_distinct(citations)) AS cited FROM r) JOIN k USING (cited)),
 asked AS (SELECT DISTINCT response_id, unnest({_FIGURE.format(x="coalesce(input, '')")}) AS n FROM r),
-known AS (SELECT response_id, list(DISTINCT n) AS ns FROM (SELECT * FROM want UNION ALL SELECT * FROM asked) WHERE n IS NOT NULL GROUP BY response_id),
-claims AS (SELECT response_id, unnest({sql_claims("answer")}) AS c FROM r),
-f AS (SELECT claims.response_id, CASE WHEN c.is_pct THEN len(list_filter(coalesce(ns, []), lambda n: {_CLOSE.format(a="n", b="c.value")})) > 0
-  ELSE len(list_filter(coalesce(ns, []), lambda n: len(list_filter({_RATIOS}, lambda r: {_CLOSE.format(a="n", b="(c.value / r)")})) > 0)) > 0 END AS found FROM claims LEFT JOIN known USING (response_id))
-SELECT response_id, count(*) AS n_claims, count(*) FILTER (WHERE found) AS n_found, count(*) = count(*) FILTER (WHERE found) AS verified FROM f GROUP BY response_id""",
+num AS (SELECT DISTINCT response_id, n FROM (SELECT response_id, n FROM w JOIN c USING (id) UNION ALL SELECT * FROM asked) WHERE n IS NOT NULL),
+claims AS (SELECT response_id, unnest({sql_claims("answer")}) AS c, unnest(range(1, len({sql_claims("answer")}) + 1)) AS i FROM r),
+plain AS (SELECT DISTINCT claims.response_id, i FROM claims JOIN num USING (response_id) WHERE {_CLOSE.format(a="n", b="c.value")} OR NOT c.is_pct AND len(list_filter({_RATIOS}, lambda r: {_CLOSE.format(a="n", b="(c.value / r)")})) > 0),
+rest AS (SELECT * FROM claims WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.response_id = claims.response_id AND p.i = claims.i)),
+top AS (SELECT response_id, n FROM num WHERE abs(n) BETWEEN 0.01 AND 1e12 QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY abs(n) DESC, n) <= {dv.MOST}),
+pr AS (SELECT a.response_id, abs(a.n - b.n) AS d, a.n + b.n AS s, least(abs(a.n), abs(b.n)) AS mn, greatest(abs(a.n), abs(b.n)) AS mx FROM top a JOIN top b ON a.response_id = b.response_id AND a.n < b.n WHERE a.response_id IN (SELECT response_id FROM rest)),
+v AS (SELECT response_id, unnest([d, s, d / mn * 100, round(d / mn * 100, 1), round(d / mn * 100, 2), d / mx * 100, round(d / mx * 100, 1), round(d / mx * 100, 2)]) AS n FROM pr WHERE mx / mn <= 25
+  UNION ALL SELECT response_id, unnest([mn / mx * 100, round(mn / mx * 100, 1), round(mn / mx * 100, 2), mn / mx, round(mn / mx, 3)]) FROM pr WHERE mx / mn <= 200),
+der AS (SELECT DISTINCT rest.response_id, i FROM rest JOIN (SELECT DISTINCT * FROM v) USING (response_id) WHERE {_CLOSE.format(a="n", b="c.value")} OR NOT c.is_pct AND len(list_filter({_RATIOS}, lambda r: {_CLOSE.format(a="n", b="(c.value / r)")})) > 0),
+f AS (SELECT response_id, count(*) AS n FROM (SELECT * FROM plain UNION ALL SELECT * FROM der) GROUP BY response_id),
+t AS (SELECT response_id, CAST(len({sql_claims("answer")}) AS INT) AS n_claims FROM r)
+SELECT response_id, n_claims, CAST(coalesce(f.n, 0) AS INT) AS n_found, n_claims = coalesce(f.n, 0) AS verified FROM t LEFT JOIN f USING (response_id)""",
     "legal_claims": f"WITH r AS ({_T}), e AS (SELECT response_id, 'money' AS kind, unnest(regexp_extract_all(answer, '{tx.MONEY}')) AS raw FROM r UNION ALL SELECT response_id, 'date', unnest(regexp_extract_all(answer, '{tx.MONTH_DATE}')) FROM r UNION ALL SELECT response_id, 'quote', unnest(regexp_extract_all(answer, '{tx.QUOTE}', 1)) FROM r) SELECT response_id, kind, count(*) AS n, count(DISTINCT raw) AS n_distinct FROM e GROUP BY ALL",
     "bio_claims": f"WITH c AS (SELECT DISTINCT id, text FROM chunks WHERE doc_type = 'biomedical'), e AS (SELECT id, trim(unnest(regexp_extract_all(text, '{tx.CLINICAL}'))) AS raw FROM c) SELECT id, count(DISTINCT raw) AS n_claims FROM e WHERE length(raw) <= 8 AND NOT regexp_full_match(raw, '[1-5]|10|100|199[5-9]|20[01]\\d|202[0-6]') GROUP BY id",
     "defined_terms": r"""

@@ -64,7 +64,7 @@ def company_aliases(spark, sf_dir):
 def session_upsert(spark, sf_dir):
     """The latest save of every session."""
     s = table(spark, sf_dir, "sessions").where("session_id is not null")
-    last = s.groupBy("session_id").agg(F.max_by(F.struct("strategy", "latency_ms", "verified", "loaded_at"), F.struct("loaded_at", "latency_ms", "cost_usd")).alias("s"), F.countDistinct("loaded_at").alias("n_saves"))
+    last = s.groupBy("session_id").agg(F.max_by(F.struct("strategy", F.nanvl("latency_ms", F.lit(None).cast("double")).alias("latency_ms"), "verified", "loaded_at"), F.struct("loaded_at", "latency_ms", "cost_usd")).alias("s"), F.countDistinct("loaded_at").alias("n_saves"))
     return last.select("session_id", "n_saves", "s.strategy", "s.latency_ms", "s.verified", F.date_format("s.loaded_at", "yyyy-MM-dd HH:mm:ss").alias("loaded_at"))
 
 
@@ -76,11 +76,14 @@ def session_history(spark, sf_dir):
 
 
 def transcript_window(spark, sf_dir):
-    """The last six steps of every session as text, each cut to 60 characters."""
-    t = table(spark, sf_dir, "trajectories").select("id", "session_id", "step_index", "agent_name", "action", "logged_at").distinct().where("session_id is not null and session_id != ''")
-    w = Window.partitionBy("session_id").orderBy(F.desc("logged_at"), F.desc("id"))
-    last = t.withColumn("k", F.row_number().over(w)).where("k <= 6")
-    steps = F.array_sort(F.collect_list(F.struct(-F.col("k"), F.substring(F.concat_ws(": ", "agent_name", "action"), 1, 60).alias("t"))))
+    """The last six steps of every session as text, each cut to 400 characters."""
+    t = table(spark, sf_dir, "trajectories").select("id", "session_id", "agent_name", "action", "payload", "logged_at").distinct().where("session_id is not null and session_id != ''")
+    order = (F.desc("logged_at"), F.desc("id"))
+    # A hot session is first cut to six steps in each of its parts.
+    part = t.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    near = part.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "part").orderBy(*order))).where("k <= 6")
+    last = near.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).where("k <= 6")
+    steps = F.array_sort(F.collect_list(F.struct(-F.col("k"), F.substring(F.concat_ws(": ", "agent_name", "action", "payload"), 1, 400).alias("t"))))
     return last.groupBy("session_id").agg(F.array_join(F.transform(steps, lambda x: x["t"]), " > ").alias("transcript"))
 
 
@@ -120,7 +123,7 @@ _EDGES = _FACTS + """,
 i AS (SELECT DISTINCT 'comp:' || ticker AS c, 'filing:' || ticker || ':' || fiscal_year AS f, 'metric:' || replace(replace(lower(metric), ' ', '_'), '&', 'and') AS m, 'val:' || ticker || ':' || replace(lower(metric), ' ', '_') || ':' || fiscal_year AS v, 'chunk:' || chunk_id AS k FROM facts),
 e AS (SELECT DISTINCT * FROM (SELECT c AS src, f AS dst, 'REPORTED_IN' AS relation FROM i UNION ALL SELECT f, v, 'CONTAINS_METRIC' FROM i UNION ALL SELECT m, v, 'RECORDED_VALUE' FROM i UNION ALL SELECT v, k, 'CITES_CHUNK' FROM i))
 """
-_STEPS = "WITH t AS (SELECT DISTINCT id, session_id, step_index, agent_name, action, logged_at FROM trajectories WHERE session_id IS NOT NULL AND session_id <> '')\n"
+_STEPS = "WITH t AS (SELECT DISTINCT id, session_id, agent_name, action, payload, logged_at FROM trajectories WHERE session_id IS NOT NULL AND session_id <> '')\n"
 _NEXT = "WITH t AS (SELECT DISTINCT trace_id, c FROM (SELECT trace_id, unnest(citations) AS c FROM traces) WHERE c IS NOT NULL AND c <> ''), l AS (SELECT lag(c) OVER (PARTITION BY trace_id ORDER BY c) AS a, c AS b FROM t), p AS (SELECT a, b, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY ALL)\n"
 
 QUERIES = {
@@ -143,9 +146,9 @@ SELECT ticker, fiscal_year, metric, row_number() OVER (PARTITION BY ticker, fisc
     "cooccurrence_edges": _NEXT + "SELECT * FROM p",
     "entity_mentions": "SELECT company, count(DISTINCT id) AS n_chunks FROM chunks WHERE company IS NOT NULL AND contains(lower(text), lower(company)) GROUP BY company",
     "company_aliases": "WITH c AS (SELECT DISTINCT company, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS name FROM chunks WHERE company IS NOT NULL), f AS (SELECT *, string_split(name, ' ')[1] AS w FROM c) SELECT DISTINCT company, alias FROM (SELECT company, name AS alias FROM f UNION ALL SELECT company, w FROM f WHERE length(w) >= 4 AND w NOT IN ('home', 'bank'))",
-    "session_upsert": "SELECT session_id, n_saves, strategy, latency_ms, verified, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at FROM (SELECT *, count(DISTINCT loaded_at) OVER (PARTITION BY session_id) AS n_saves FROM sessions WHERE session_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY loaded_at DESC, latency_ms DESC NULLS LAST, cost_usd DESC NULLS LAST) = 1",
+    "session_upsert": "SELECT session_id, n_saves, strategy, CASE WHEN isnan(latency_ms) THEN NULL ELSE latency_ms END AS latency_ms, verified, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at FROM (SELECT *, count(DISTINCT loaded_at) OVER (PARTITION BY session_id) AS n_saves FROM sessions WHERE session_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY loaded_at DESC, latency_ms DESC NULLS LAST, cost_usd DESC NULLS LAST) = 1",
     "session_history": "WITH s AS (SELECT session_id, arg_max(strategy, loaded_at) AS strategy, max(created_at) AS created_at FROM sessions WHERE session_id IS NOT NULL GROUP BY session_id) SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY created_at DESC, session_id) AS place, session_id FROM s QUALIFY place <= 3",
-    "transcript_window": _STEPS + "SELECT session_id, string_agg((agent_name || ': ' || action)[1:60], ' > ' ORDER BY k DESC) AS transcript FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY logged_at DESC, id DESC) AS k FROM t) WHERE k <= 6 GROUP BY session_id",
+    "transcript_window": _STEPS + "SELECT session_id, string_agg(concat_ws(': ', agent_name, action, payload)[1:400], ' > ' ORDER BY k DESC) AS transcript FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY logged_at DESC, id DESC) AS k FROM t) WHERE k <= 6 GROUP BY session_id",
     "trajectory_steps": "WITH t AS (SELECT DISTINCT id, session_id, agent_name, logged_at FROM trajectories WHERE session_id IS NOT NULL AND session_id <> ''), d AS (SELECT agent_name, epoch_us(logged_at) - lag(epoch_us(logged_at)) OVER (PARTITION BY session_id ORDER BY logged_at, id) AS gap FROM t) SELECT agent_name, count(*) AS n, count(gap) AS n_gaps, max(gap) AS max_gap_us FROM d GROUP BY agent_name",
     "nearest_date_join": "WITH c AS (SELECT DISTINCT id, ingested_at, deleted_at FROM chunks), j AS (SELECT g.id, g.deleted_at, min(b.ingested_at) AS again_at FROM c g JOIN c b ON g.id = b.id AND b.ingested_at > g.deleted_at AND CAST(b.ingested_at AS DATE) - CAST(g.deleted_at AS DATE) <= 60 WHERE g.deleted_at IS NOT NULL GROUP BY ALL) SELECT id, CAST(CAST(again_at AS DATE) - CAST(deleted_at AS DATE) AS INT) AS days FROM j",
     "citation_enrich": "WITH c AS (SELECT id AS cited, min(item) AS item, min(title) AS title FROM chunks GROUP BY id), r AS (SELECT DISTINCT response_id, cited FROM (SELECT response_id, unnest(citations) AS cited FROM synthesis_responses) WHERE cited IS NOT NULL) SELECT coalesce(item, '?') AS item, coalesce(title, 'untitled') AS title, count(*) AS n FROM r LEFT JOIN c USING (cited) GROUP BY ALL",
