@@ -81,8 +81,15 @@ def agreement(labels: DataFrame, human: Column, judge: Column, *keys: str) -> Da
     return g.select(*keys, "n", "tp", "fn", "fp", "tn", F.round(po, 6).alias("agreement"), F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
 
 
-def streaks(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    """(key, longest, streaks) of neighbouring rows with the flag: gaps and islands."""
-    w = Window.partitionBy(key).orderBy(*order)
-    runs = rows.select(key, *order, flag.cast("int").alias("flag")).withColumn("island", F.sum(1 - F.col("flag")).over(w))
-    return runs.where("flag = 1").groupBy(key, "island").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))
+def streaks(rows: DataFrame, key: str, order: list[str], flag: Column, part: Column) -> DataFrame:
+    """(key, longest, streaks) of neighbouring rows with the flag: gaps and islands.
+
+    ``part`` never falls along the order; the rows of a key are counted part by part, so a hot key is spread.
+    """
+    runs = rows.select(key, *order, (1 - flag.cast("int")).alias("other"), part.alias("part"))
+    within = F.sum("other").over(Window.partitionBy(key, "part").orderBy(*order))
+    parts = runs.groupBy(key, "part").agg(F.sum("other").alias("others"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(key, "part", F.coalesce(F.sum("others").over(earlier), F.lit(0)).alias("before"))
+    islands = runs.withColumn("within", within).where("other = 0").join(before, [key, "part"]).groupBy(key, (F.col("before") + F.col("within")).alias("island")).agg(F.count("*").alias("n"))
+    return islands.groupBy(key).agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))

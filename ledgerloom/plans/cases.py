@@ -47,8 +47,8 @@ def _aliases(spark, sf_dir):
     return c.select("ticker", each.alias("alias")).groupBy("alias").agg(F.min("ticker").alias("ticker"), F.countDistinct("ticker").alias("n")).where("n = 1").select("alias", "ticker")
 
 
-def company_scope(spark, sf_dir):
-    """Companies that a question names: runs of its words are joined with the aliases, and the longest of those that overlap counts."""
+def question_companies(spark, sf_dir):
+    """(response_id, ticker) of the companies that a question names: runs of its words are joined with the aliases, and the longest of those that overlap counts."""
     q = table(spark, sf_dir, "synthesis_responses").select("response_id", F.split(F.trim(F.regexp_replace(F.lower("input"), "[^a-z0-9]+", " ")), " ").alias("w")).where("w is not null").distinct()
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(ALIAS_WORDS)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("alias")))))
     runs = q.select("response_id", F.size("w").alias("words"), F.explode(runs).alias("r")).select("response_id", "words", "r.*").where("at + n - 1 <= words")
@@ -57,7 +57,11 @@ def company_scope(spark, sf_dir):
     later = Window.partitionBy("response_id").orderBy(F.desc("n"), "at").rowsBetween(Window.unboundedPreceding, -1)
     taken = hits.withColumn("before", F.collect_list(F.struct("at", "n")).over(later))
     free = ~F.exists("before", lambda b: (b["at"] < F.col("at") + F.col("n")) & (F.col("at") < b["at"] + b["n"]) & (b["n"] > F.col("n")))
-    return taken.where(free).groupBy("ticker").agg(F.countDistinct("response_id").alias("n_questions"))
+    return taken.where(free).select("response_id", "ticker").distinct()
+
+
+def company_scope(spark, sf_dir):
+    return question_companies(spark, sf_dir).groupBy("ticker").agg(F.countDistinct("response_id").alias("n_questions"))
 
 
 def community_search(spark, sf_dir):
@@ -102,6 +106,17 @@ def term_lookup(spark, sf_dir):
     return q.groupBy("term").agg(F.count("*").alias("n_questions")).join(d, "term", "left").select("term", "n_questions", F.coalesce("n_contracts", F.lit(0)).alias("n_contracts"))
 
 
+#: Tables up to companies(response_id, ticker).
+COMPANIES = f"""
+c AS (SELECT DISTINCT ticker, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS name FROM chunks WHERE company IS NOT NULL AND ticker IS NOT NULL),
+a0 AS (SELECT ticker, name AS alias FROM c UNION SELECT ticker, lower(ticker) FROM c UNION SELECT ticker, string_split(name, ' ')[1] FROM c WHERE length(string_split(name, ' ')[1]) >= 4 AND string_split(name, ' ')[1] NOT IN ('home', 'bank')),
+a AS (SELECT alias, min(ticker) AS ticker FROM a0 GROUP BY alias HAVING count(DISTINCT ticker) = 1),
+q AS (SELECT DISTINCT response_id, string_split(trim(regexp_replace(lower(input), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM synthesis_responses WHERE input IS NOT NULL),
+i AS (SELECT response_id, w, unnest(range(1, len(w) + 1)) AS pos FROM q),
+r AS (SELECT response_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS alias FROM i, range(1, {ALIAS_WORDS + 1}) t(n) WHERE pos + n - 1 <= len(w)),
+h AS (SELECT response_id, pos, n, ticker FROM r JOIN a USING (alias)),
+companies AS (SELECT DISTINCT response_id, ticker FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.response_id = x.response_id AND y.n > x.n AND y.pos < x.pos + x.n AND x.pos < y.pos + y.n))
+"""
 _TOKENS = "regexp_extract_all(replace(lower({x}), ',', ''), '[a-z0-9]+')"
 QUERIES = {f.__name__: f for f in (golden_cases, first_match_per_category, company_scope, community_search, audit_verdict, node_labels, term_lookup)}
 SQL = {
@@ -111,15 +126,7 @@ SQL = {
 SELECT 'What was the annual growth of ' || metric || ' of ' || ticker || ' from ' || y0 || ' to ' || y1 || '?' AS input, CAST(CAST(round((pow(v1 / v0, 1.0::DOUBLE / (y1 - y0)) - 1) * 100, 4) AS DECIMAL(20,4)) AS VARCHAR) || '%' AS answer FROM g WHERE v0 > 0 AND v1 > 0 AND y1 > y0
 UNION ALL SELECT 'What share of revenue was ' || metric || ' of ' || ticker || ' in ' || fiscal_year || '?', CAST(CAST(ratio AS DECIMAL(20,4)) AS VARCHAR) || '%' FROM margins""",
     "first_match_per_category": "WITH c AS (SELECT doc_id, id, regexp_extract(text, 'The clause on ([a-z-]+(?: [a-z-]+)*) survives', 1) AS clause FROM chunks WHERE doc_type = 'contract') SELECT clause, min(struct_pack(doc_id := doc_id, id := id)).doc_id AS doc_id, min(struct_pack(doc_id := doc_id, id := id)).id AS id, count(DISTINCT doc_id) AS n_contracts FROM c WHERE clause <> '' GROUP BY clause",
-    "company_scope": f"""
-WITH c AS (SELECT DISTINCT ticker, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS name FROM chunks WHERE company IS NOT NULL AND ticker IS NOT NULL),
-a0 AS (SELECT ticker, name AS alias FROM c UNION SELECT ticker, lower(ticker) FROM c UNION SELECT ticker, string_split(name, ' ')[1] FROM c WHERE length(string_split(name, ' ')[1]) >= 4 AND string_split(name, ' ')[1] NOT IN ('home', 'bank')),
-a AS (SELECT alias, min(ticker) AS ticker FROM a0 GROUP BY alias HAVING count(DISTINCT ticker) = 1),
-q AS (SELECT DISTINCT response_id, string_split(trim(regexp_replace(lower(input), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM synthesis_responses WHERE input IS NOT NULL),
-i AS (SELECT response_id, w, unnest(range(1, len(w) + 1)) AS pos FROM q),
-r AS (SELECT response_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS alias FROM i, range(1, {ALIAS_WORDS + 1}) t(n) WHERE pos + n - 1 <= len(w)),
-h AS (SELECT response_id, pos, n, ticker FROM r JOIN a USING (alias))
-SELECT ticker, count(DISTINCT response_id) AS n_questions FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.response_id = x.response_id AND y.n > x.n AND y.pos < x.pos + x.n AND x.pos < y.pos + y.n) GROUP BY ticker""",
+    "company_scope": "WITH " + COMPANIES + "SELECT ticker, count(*) AS n_questions FROM companies GROUP BY ticker",
     "community_search": f"WITH p AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format(x='''concat_ws(' ', company, ticker, CAST(fiscal_year AS VARCHAR), title)''')}) AS w FROM chunks WHERE ticker IS NOT NULL), q AS (SELECT DISTINCT id, unnest({_TOKENS.format(x='input')}) AS w FROM golden_set_v1), s AS (SELECT id, doc_id, count(*) AS shared FROM q JOIN p USING (w) GROUP BY ALL) SELECT id, doc_id, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, doc_id) AS place FROM s QUALIFY place <= 2",
     "audit_verdict": f"""
 WITH g AS (SELECT DISTINCT id, expected.answer AS a, expected.citations AS c FROM golden_set_v1 WHERE expected.answer IS NOT NULL),

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import evaluate as ev
+from ledgerloom.operators.retrieval import numbered
 from ledgerloom.tables import table
 
 
@@ -42,13 +43,17 @@ def latency_percentiles(spark, sf_dir):
 
 def latency_p95_variants(spark, sf_dir):
     """p95 by linear interpolation, by the element at floor(0.95 n), and with exclusive quantiles, without gathering a group."""
-    t = table(spark, sf_dir, "traces").select("trace_id", "model", "latency_ms").distinct().where("latency_ms is not null and not isnan(latency_ms)")
-    w = Window.partitionBy("model")
-    r = t.withColumn("i", F.row_number().over(w.orderBy("latency_ms", "trace_id"))).withColumn("n", F.count("*").over(w))
-    at, below, part = F.least(F.floor(F.col("n") * 0.95) + 1, F.col("n")), F.floor(0.95 * (F.col("n") + 1)), 0.95 * (F.col("n") + 1) - F.floor(0.95 * (F.col("n") + 1))
-    pick = lambda k: F.max(F.when(F.col("i") == F.least(F.greatest(k, F.lit(1)), F.col("n")), F.col("latency_ms")))
-    g = r.groupBy("model", "n").agg(pick(at).alias("by_index"), pick(below).alias("lo"), pick(below + 1).alias("hi"), F.percentile("latency_ms", 0.95).alias("linear"))
-    return g.select("model", "n", F.round("linear", 4).alias("linear"), F.round("by_index", 4).alias("by_index"), F.round(F.col("lo") + part * (F.col("hi") - F.col("lo")), 4).alias("exclusive"))
+    t = table(spark, sf_dir, "traces").select("trace_id", "model", "latency_ms").distinct().where("latency_ms is not null and not isnan(latency_ms)").withColumn("model", F.coalesce("model", F.lit("(none)")))
+    # Equal latencies, and those of a like size, share a part; larger ones have larger parts.
+    part = F.floor(F.when(F.col("latency_ms") > 0, F.log("latency_ms") * 16).otherwise(F.col("latency_ms") - 100_000))
+    r = numbered(t, "model", [F.asc("latency_ms"), F.asc("trace_id")], part, "i").join(F.broadcast(t.groupBy("model").agg(F.count("*").alias("n"))), "model")
+    n = F.col("n")
+    at, below, part = F.least(F.floor(n * 0.95) + 1, n), F.floor(0.95 * (n + 1)), 0.95 * (n + 1) - F.floor(0.95 * (n + 1))
+    low, share = F.floor(0.95 * (n - 1)), 0.95 * (n - 1) - F.floor(0.95 * (n - 1))
+    pick = lambda k: F.max(F.when(F.col("i") == F.least(F.greatest(k, F.lit(1)), n), F.col("latency_ms")))
+    g = r.groupBy("model", "n").agg(pick(at).alias("by_index"), pick(below).alias("lo"), pick(below + 1).alias("hi"), pick(low + 1).alias("a"), pick(low + 2).alias("b"))
+    linear = F.col("a") + share * (F.col("b") - F.col("a"))
+    return g.select(F.nullif("model", F.lit("(none)")).alias("model"), "n", F.round(linear, 4).alias("linear"), F.round("by_index", 4).alias("by_index"), F.round(F.col("lo") + part * (F.col("hi") - F.col("lo")), 4).alias("exclusive"))
 
 
 def by_category_rollup(spark, sf_dir):
@@ -103,7 +108,7 @@ def unattempted_cases(spark, sf_dir):
 def error_streak(spark, sf_dir):
     """Longest run of rejected or redrafted steps of each agent and session."""
     t = table(spark, sf_dir, "trajectories").select("id", "session_id", "step_index", "action", "logged_at").distinct().where("session_id is not null and session_id != ''")
-    return ev.streaks(t, "session_id", ["logged_at", "step_index", "id"], F.col("action").isin("reject", "redraft", "clarify"))
+    return ev.streaks(t, "session_id", ["logged_at", "step_index", "id"], F.col("action").isin("reject", "redraft", "clarify"), F.to_date("logged_at"))
 
 
 def conv_all_correct(spark, sf_dir):

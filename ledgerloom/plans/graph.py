@@ -90,9 +90,12 @@ def transcript_window(spark, sf_dir):
 def trajectory_steps(spark, sf_dir):
     """Steps of each session by agent, with the time since the step before."""
     t = table(spark, sf_dir, "trajectories").select("id", "session_id", "agent_name", "logged_at").distinct().where("session_id is not null and session_id != ''")
-    w = Window.partitionBy("session_id").orderBy("logged_at", "id")
-    us = F.unix_micros(F.col("logged_at").cast("timestamp"))
-    d = t.withColumn("gap", us - F.lag(us).over(w))
+    # Day by day, so that a hot session is spread; the first step of a day follows the last one of an earlier day.
+    t = t.select("id", "session_id", "agent_name", F.to_date("logged_at").alias("day"), F.unix_micros(F.col("logged_at").cast("timestamp")).alias("us"))
+    days = t.groupBy("session_id", "day").agg(F.max("us").alias("last"))
+    before = days.select("session_id", "day", F.lag("last").over(Window.partitionBy("session_id").orderBy("day")).alias("before"))
+    step = F.lag("us").over(Window.partitionBy("session_id", "day").orderBy("us", "id"))
+    d = t.withColumn("prev", step).join(before, ["session_id", "day"]).withColumn("gap", F.col("us") - F.coalesce("prev", "before"))
     return d.groupBy("agent_name").agg(F.count("*").alias("n"), F.count("gap").alias("n_gaps"), F.max("gap").alias("max_gap_us"))
 
 
