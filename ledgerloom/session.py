@@ -30,9 +30,13 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session.
 
     ``spark.checkpoint.dir`` is what the cluster names; a folder of our own is
-    set only where neither that setting nor a checkpoint folder exists (tests).
+    set only where neither that setting nor a checkpoint folder exists and all tasks
+    run on this machine (tests); a cluster without it fails at once.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=eager)
