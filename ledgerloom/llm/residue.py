@@ -126,7 +126,7 @@ ERROR = (
 )
 NOTICE = (
     r"(?:to (?:continue|proceed|go on)[ ,]+)?(?:please )?(?:enable|activate|turn on|allow|switch on|permit) (?:java ?script|scripts?|scripting|active scripts?)(?: and cookies)?(?: (?:to|in|for|and|on)\b[^.\n]{0,60}|, then [^.\n]{0,60})?",
-    r"(?:[^.\n;]{0,60};\s*)?(?:java ?script|scripts?|scripting) (?:must|needs? to|ha(?:s|ve) to) be (?:allowed|enabled|permitted|active|switched on)[^.\n]{0,60}",
+    r"(?:\bchecking [^.\n;]{0,30};\s*)?(?:java ?script|scripts?|scripting) (?:must|needs? to|ha(?:s|ve) to) be (?:allowed|enabled|permitted|active|switched on)[^.\n]{0,60}",
     r"\ban? (?:[\w-]+ )?browser with (?:[\w-]+ ){0,2}(?:java ?script|scripts?|scripting)(?: [\w-]+)? is (?:needed|required)[^.\n]{0,60}",
     r"(?:bitte )?aktivieren sie java ?script[^.\n]{0,60}|veuillez activer java ?script[^.\n]{0,60}|(?:por favor,? )?activ(?:e|ar) java ?script[^.\n]{0,60}|(?:si prega di )?(?:abilitare|attivare|attiva) java ?script[^.\n]{0,60}|schakel java ?script in[^.\n]{0,60}",
     r"java ?script (?:is|must be|has to be|needs to be) (?:required|disabled|enabled|turned on|turned off|needed|off)[^.\n]{0,50}",
