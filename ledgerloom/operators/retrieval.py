@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,12 +81,12 @@ def top_k(scored: DataFrame, query_key: str, key: str, k: int, score: str = "sco
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, part: int = 4096, block: int = 512) -> DataFrame:
-    """(query_key, key, score, rank): exact inner products, block by block.
+def inner_products(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int | None = None, part: int = 4096, block: int = 512) -> DataFrame:
+    """(query_key, key, score): inner products, block by block; with ``k`` at least the k best of each query.
 
     Vectors are hashed into parts of about ``part`` rows and queries into blocks of about
     ``block``; every part meets every block in a task of its own as one matrix product and
-    keeps the k best for each query, so no task holds more than a part and a block.
+    keeps what is asked of it, so no task holds more than a part and a block.
     """
     n_parts = max(1, -(-vectors.count() // part))
     n_blocks = max(1, -(-queries.count() // block))
@@ -103,11 +101,16 @@ def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
             return pd.DataFrame({query_key: [], key: [], "score": []})
         m, v = np.array(left["v"].tolist()), np.array(right["v"].tolist())
         s, ids = v @ m.T, left["k"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, : k or len(ids)]
         return pd.DataFrame({query_key: np.repeat(right["q"].to_numpy(), order.shape[1]), key: ids[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
 
     best = rows.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(score, f"{query_key} {qkind}, {key} {kind}, score double")
-    return top_k(best.withColumn("score", F.round("score", 6)), query_key, key, k)
+    return best.withColumn("score", F.round("score", 6))
+
+
+def dense_top_k(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
+    """(query_key, key, score, rank): the k vectors with the greatest inner products, exactly."""
+    return top_k(inner_products(vectors, key, vector, queries, query_key, query_vector, k), query_key, key, k)
 
 
 def numbered(rows: DataFrame, group: str, order: list[Column], part: Column, name: str = "rank") -> DataFrame:
@@ -123,24 +126,6 @@ def numbered(rows: DataFrame, group: str, order: list[Column], part: Column, nam
     return t.withColumn("_place", place).join(before, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
-def inner_products(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, per_block: int = 256) -> DataFrame:
-    """(query_key, key, score) of every query with every vector: blocks of queries pass over the vectors, which stay where they are."""
-    block = F.pmod(F.xxhash64(query_key), F.lit(1 << 30))
-    n = max(1, -(-queries.count() // per_block))
-    kind, qkind = vectors.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    blocks = queries.groupBy((block % n).alias("b")).agg(F.collect_list(query_key).alias("qs"), F.collect_list(F.col(query_vector).cast("array<double>")).alias("qv"))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for qs, some in pdf.groupby(pdf["b"]):
-                m, v = np.stack(some["v"].to_numpy()), np.stack(some["qv"].iloc[0])
-                names = np.asarray(some["qs"].iloc[0])
-                yield pd.DataFrame({query_key: np.tile(names, len(some)), key: np.repeat(some["k"].to_numpy(), len(names)), "score": (m @ v.T).ravel()})
-
-    every = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(blocks), F.lit(True))
-    return every.mapInPandas(score, f"{query_key} {qkind}, {key} {kind}, score double").withColumn("score", F.round("score", 6))
-
-
 def fuse(*ranked: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query_key, key, rrf): reciprocal rank fusion of ranked lists with a 1-based column rank."""
     every = None
