@@ -150,7 +150,7 @@ LOREM_HINT = ("lorem", "ipsum", "dolor", "vetra", "fermo", "conse ")
 PAGE_WORDS = (
     " script", "\nscript", ">script", "javascript", "java script", "scripting", "error", "erreur", "fehler", "gateway", "timeout", "time-out", "timed out", "forbidden", "verboten", "access denied", "verweigert", "refus",
     "denegado", "errore", "not found", "introuvable", "nicht gefunden", "no encontrada", "non trovata", "niet gevonden", "could not be", "cannot be", "can't be", "unavailable", "not available", "disponible", "derzeit nicht",
-    "moved or removed", "has been moved", "returned status", "returned error", "returned code", "failed", "has expired", "been deleted", "was not found", "was blocked", "has been limited", "has been denied", "has been suspended", "open to", "restricted to", "limited to", "visible to", "available to", "only to", "you asked for", "you requested", "you followed", "looking for", "request blocked", "request rejected", "too many requests", "http", "went wrong", "traceback", "exception", "upstream",
+    "moved or removed", "has been moved", "has moved", "available only", "has removed", "returned status", "returned error", "returned code", "failed", "has expired", "been deleted", "was not found", "was blocked", "has been limited", "has been denied", "has been suspended", "open to", "restricted to", "limited to", "visible to", "available to", "only to", "you asked for", "you requested", "you followed", "looking for", "request blocked", "request rejected", "too many requests", "http", "went wrong", "traceback", "exception", "upstream",
     "does not exist", "n'existe pas", "no existe", "no se ha encontrado", "zurzeit nicht", "momentan nicht", "no longer", "took too long", "null pointer", "stack overflow", "fatal", "too many", "unauthorized", "bad request", "method not", "oops", "whoops", "service is", "your session", "have permission to", "may be broken", "unexpected", "segmentation", "panic:", "session", "rate limit", "busy", "connection", "maintenance",
 )
 #: A sentence belongs to pages, or to filler, where so many texts and this share of all texts with it hold it beside known ones.
