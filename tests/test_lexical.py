@@ -68,3 +68,10 @@ def test_no_row_for_each_posting(spark):
     _, asks, d, q = template_tables(spark)
     plan = rt.bm25_top_k(d, "id", "t", q, "q_id", "ask", 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "term#" not in plan and plan.count("Join Cross") == 1
+
+
+def test_one_index_inside_a_scope_and_in_all(spark):
+    docs, asks, d, q = template_tables(spark)
+    index = rt.bm25_index(d, "id", "t", within="fy")
+    assert ranked(rt.bm25_top_k(index, "id", "t", q, "q_id", "ask", 5, within="fy", shared=True)) == brute(docs, asks, 5, within=True)
+    assert ranked(rt.bm25_top_k(index, "id", "t", q, "q_id", "ask", 5, shared=True)) == brute(docs, asks, 5)
