@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import facts as fx
+from ledgerloom.operators import lexical
 from ledgerloom.operators.evaluate import prefixes
 from ledgerloom.operators.graph import nodes
 from ledgerloom.plans.evaluation import sql_claims, sql_prefixes
@@ -16,6 +17,8 @@ from ledgerloom.tables import table
 
 #: Words of the longest alias that is looked for.
 ALIAS_WORDS = 4
+#: Stands for a filing without an id; comes after all others.
+NO_DOC = "\U0010ffff"
 
 
 def golden_cases(spark, sf_dir):
@@ -66,11 +69,12 @@ def company_scope(spark, sf_dir):
 
 def community_search(spark, sf_dir):
     """The two filings whose titles and items share most words with each distinct question."""
-    prof = table(spark, sf_dir, "chunks").where("ticker is not null").select("doc_id", F.explode(tx.tokenize(F.concat_ws(" ", "company", "ticker", F.col("fiscal_year").cast("string"), "title"))).alias("w")).distinct()
-    q = table(spark, sf_dir, "golden_set_v1").select("id", F.explode(tx.tokenize(F.col("input"))).alias("w")).distinct()
-    score = q.join(prof, "w").groupBy("id", "doc_id").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("id").orderBy(F.desc("shared"), "doc_id")
-    return score.withColumn("place", F.row_number().over(w)).where("place <= 2").select("id", "doc_id", "shared", "place")
+    words = lambda t: F.array_distinct(F.flatten(F.collect_set(tx.tokenize(t)))).alias("words")
+    head = table(spark, sf_dir, "chunks").where("ticker is not null").select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.concat_ws(" ", "company", "ticker", F.col("fiscal_year").cast("string"), "title").alias("head")).distinct()
+    prof = lexical.indexed(head.groupBy("doc_id").agg(words(F.col("head"))), "doc_id", "words")
+    q = table(spark, sf_dir, "golden_set_v1").select("id", "input").distinct().groupBy("id").agg(words(F.col("input")))
+    best = lexical.search(prof, q, "id", "words", 2, flat=True)
+    return best.select("id", F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.col("score").cast("bigint").alias("shared"), F.col("rank").alias("place"))
 
 
 def audit_verdict(spark, sf_dir):

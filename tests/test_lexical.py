@@ -75,3 +75,11 @@ def test_one_index_inside_a_scope_and_in_all(spark):
     index = rt.bm25_index(d, "id", "t", within="fy")
     assert ranked(rt.bm25_top_k(index, "id", "t", q, "q_id", "ask", 5, within="fy", shared=True)) == brute(docs, asks, 5, within=True)
     assert ranked(rt.bm25_top_k(index, "id", "t", q, "q_id", "ask", 5, shared=True)) == brute(docs, asks, 5)
+
+
+def test_shared_words(spark):
+    """Scores that are counts of shared words, with many ties."""
+    docs, asks, d, q = template_tables(spark)
+    index = lexical.indexed(d.select("id", F.array_distinct(F.split(F.trim("t"), " ")).alias("w")), "id", "w")
+    asked = q.select("q_id", F.array_distinct(F.split("ask", " ")).alias("w"))
+    assert ranked(lexical.search(index, asked, "q_id", "w", 2, flat=True, shared=True)) == brute(docs, asks, 2, flat=True)
