@@ -83,3 +83,12 @@ def test_shared_words(spark):
     index = lexical.indexed(d.select("id", F.array_distinct(F.split(F.trim("t"), " ")).alias("w")), "id", "w")
     asked = q.select("q_id", F.array_distinct(F.split("ask", " ")).alias("w"))
     assert ranked(lexical.search(index, asked, "q_id", "w", 2, flat=True, shared=True)) == brute(docs, asks, 2, flat=True)
+
+
+def test_columns_come_along(spark):
+    """Questions with equal texts keep columns of their own."""
+    docs, asks, d, q = template_tables(spark, n_asks=20)
+    twice = q.select(F.explode(F.array(F.lit(0), F.lit(10_000))).alias("more"), "*").select((F.col("q_id") + F.col("more")).alias("q_id"), "ask", (F.col("more") > 0).alias("copy"))
+    rows = rt.bm25_top_k(d, "id", "t", twice, "q_id", "ask", 5, carry=["copy"]).collect()
+    want = {(q + more, rank): (found[0], more > 0) for (q, rank), found in brute(docs, asks, 5).items() for more in (0, 10_000)}
+    assert {(r.q_id, r["rank"]): (r.id, r.copy) for r in rows} == want
