@@ -30,3 +30,11 @@ def test_bm25_topk_of_every_question(spark, asked):
     df = retrieval.bm25_topk(spark, folder)
     assert {r.response_id for r in df.collect()} == {*range(10), 12}
     assert_same(df, con, retrieval.SQL["bm25_topk"])
+
+
+def test_hit_at_k_of_every_question_with_citations(spark, asked):
+    folder, con = asked
+    df = retrieval.hit_at_k_mrr(spark, folder)
+    # Only 11 is without a citation.
+    assert df.first().n == 11
+    assert_same(df, con, retrieval.SQL["hit_at_k_mrr"])
