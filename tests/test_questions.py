@@ -38,3 +38,12 @@ def test_hit_at_k_of_every_question_with_citations(spark, asked):
     # Only 11 is without a citation.
     assert df.first().n == 11
     assert_same(df, con, retrieval.SQL["hit_at_k_mrr"])
+
+
+def test_multi_query_merge_of_every_session(spark, asked):
+    folder, con = asked
+    df = retrieval.multi_query_merge(spark, folder)
+    # Both questions of a session are asked; 12 has no session, 11 no words.
+    assert {(r.session_id, r.id) for r in df.collect()} >= {("s0", "D0:c0"), ("s0", "D1:c0"), ("s4", "D8:c0"), ("s4", "D9:c0")}
+    assert {r.session_id for r in df.collect()} == {f"s{i}" for i in range(5)}
+    assert_same(df, con, retrieval.SQL["multi_query_merge"])
